@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,3 +79,21 @@ def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
     own = label != np.arange(len(nodes))
     return nodes[own], nodes[label[own]]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table of its own in the shared checkpoint folder, read back.
+
+    For tables too wide for checkpoint(), whose files are neither columnar nor compressed. They
+    stay until the folder is cleared.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most_rows: int) -> DataFrame:
+    """df marked for broadcast if it has at most most_rows rows, else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

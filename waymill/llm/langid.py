@@ -170,8 +170,8 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(split.drop("lang"), prototypes(split.where("not held_out")))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.05) -> DataFrame:
-    """docs without the rows that have no language: no letter, or a score under least.
+def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """docs without the rows that have no language: no letter, or a score under least (0: none is too low).
 
     The model is learned as in identify(). All columns of the rows kept stay as they are,
     whatever their names.

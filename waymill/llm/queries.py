@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, chat, htmlmain, langid, packing, simhash
+from . import archives, chat, decontam, htmlmain, langid, packing, simhash
 from .common import read_table
 
 
@@ -29,6 +29,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -38,9 +42,31 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_windows(chat.format_conversations(table.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_html_extraction, op3_best_fit_packing, op4_warc, op5_language_id, op7_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_html_extraction, op3_best_fit_packing, op4_warc, op5_language_id, op6_decontamination, op7_chat_formatting)}
+
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
 ORACLE_SQL = {
+    "op6_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        wins AS (
+            SELECT DISTINCT item_id, array_to_string(w[j : j + least(13, len(w)) - 1], ' ') AS win, least(13, len(w)) AS n
+            FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS j FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM wins),
+        spots AS (
+            SELECT doc_id, n, j, array_to_string(w[j : j + n - 1], ' ') AS win
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM d, sizes WHERE len(w) >= n)),
+        found AS (SELECT s.doc_id, s.j, s.n, wins.item_id FROM spots s JOIN wins ON s.win = wins.win AND s.n = wins.n),
+        hit AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + n)) AS p FROM found) GROUP BY doc_id),
+        items AS (
+            SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+            FROM found GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+        FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+    """,
     "op4_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
