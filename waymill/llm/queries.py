@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, chat, decontam, htmlmain, kdtree, langid, packing, simhash, sufdedup
+from . import archives, chat, classlm, decontam, htmlmain, kdtree, langid, packing, simhash, sufdedup
 from .common import read_table
 
 
@@ -46,11 +46,15 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sufdedup.removed_spans(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_html_extraction, op3_best_fit_packing, op4_warc, op5_language_id, op6_decontamination, op7_chat_formatting, op8_suffix_array_dedup, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_html_extraction, op3_best_fit_packing, op4_warc, op5_language_id, op6_decontamination, op7_chat_formatting, op8_suffix_array_dedup, op9_class_lm, op10_exact_top_k)}
 
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
