@@ -178,8 +178,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without all but the smallest doc_id of each near-duplicate group; of repeated rows one stays."""
+    """docs without all but the smallest doc_id of each near-duplicate group.
+
+    Rows that share the doc_id that stays are one document: one of them is kept. Rows without
+    a doc_id stay, one of them, where no row of their group has one.
+    """
     found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    named = keep.withColumnRenamed("doc_id", "kept_id")
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    kept = checkpointed(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).count())
+    rest = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return rest if kept.where("count > 1").isEmpty() else rest.dropDuplicates(["doc_id"])
