@@ -35,8 +35,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def word_rows(table: DataFrame, *keys: str) -> DataFrame:
     """(keys, pos, word) of every word of table's text, lower-cased; pos counts words from 0."""
-    lead = F.col("text").rlike(f"^{SEPARATOR}").cast("int")
-    parts = table.select(*keys, lead.alias("lead"), F.posexplode(F.split("text", f"{SEPARATOR}+")).alias("at", "raw"))
+    # Apart from the explode, or it would be worked out again for every word.
+    led = table.select(*keys, "text", F.col("text").rlike(f"^{SEPARATOR}").cast("int").alias("lead"))
+    parts = led.select(*keys, "lead", F.posexplode(F.split("text", f"{SEPARATOR}+")).alias("at", "raw"))
     return parts.where("raw <> ''").select(*keys, (F.col("at") - F.col("lead")).alias("pos"), lower_ascii(F.col("raw")).alias("word"))
 
 
