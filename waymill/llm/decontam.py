@@ -36,13 +36,15 @@ def keyed(docs: DataFrame) -> DataFrame:
 def word_rows(table: DataFrame, *keys: str) -> DataFrame:
     """(keys, pos, word) of every word of table's text, lower-cased; pos counts words from 0."""
     # Apart from the explode, or it would be worked out again for every word.
-    led = table.select(*keys, "text", F.col("text").rlike(f"^{SEPARATOR}").cast("int").alias("lead"))
+    led = table.select(*keys, "text", F.left("text", F.lit(1)).rlike(SEPARATOR).cast("int").alias("lead"))
     parts = led.select(*keys, "lead", F.posexplode(F.split("text", f"{SEPARATOR}+")).alias("at", "raw"))
     return parts.where("raw <> ''").select(*keys, (F.col("at") - F.col("lead")).alias("pos"), lower_ascii(F.col("raw")).alias("word"))
 
 
 def n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(SEPARATOR.replace("[", "[^", 1) + "+")).cast("long")
+    """The words of a text that is not null; empty parts stand before a first and after a last separator."""
+    edges = F.left(text, F.lit(1)).rlike(SEPARATOR).cast("int") + F.right(text, F.lit(1)).rlike(SEPARATOR).cast("int")
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, f"{SEPARATOR}+")) - edges).cast("long")
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
