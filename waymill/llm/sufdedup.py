@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed, small
 from .suffix import equal_windows
 
 WIDTH = 50
 GRAM = 16
-GROUP_BYTES = 4 << 20  # text in a group of documents, on average
-BUCKET_BYTES = 32 << 20  # text whose anchors share a bucket, on average
+GROUP_BYTES = 8 << 20  # text in a group of documents, on average
+BUCKET_BYTES = 8 << 20  # text whose anchors share a bucket, on average
 CHUNK = 1 << 20
+SMALL_ROWS = 500_000  # digests of copied texts that may be broadcast; more are shuffled
 NO_ID = (1 << 63) - 1
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -47,8 +49,8 @@ def _gram_hashes(text: np.ndarray) -> np.ndarray:
     return h
 
 
-def _anchors(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, anchor's place, anchor's hash) of the runs of width-byte windows with one anchor."""
+def _anchors(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, anchor's hash) of the runs of width-byte windows with one anchor."""
     windows = len(text) - width + 1
     h = _gram_hashes(text)
     low = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
@@ -59,8 +61,10 @@ def _anchors(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
         span += step
     place = (low[:windows] & _PLACE).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    at = place[first]
-    return first, np.diff(np.append(first, windows)), at, h[at]
+    h = h[place[first]]
+    # Anchors are small hashes: mixed again, they spread over all buckets.
+    h = (h ^ (h >> np.uint64(31))) * _M2
+    return first, np.diff(np.append(first, windows)), h ^ (h >> np.uint64(29))
 
 
 def anchors(texts: list[bytes], width: int = WIDTH):
@@ -79,7 +83,7 @@ def anchors(texts: list[bytes], width: int = WIDTH):
             part = whole[lo : lo + CHUNK + width - 1]
             if len(part) < width:
                 continue
-            first, count, _, h = _anchors(part, width)
+            first, count, h = _anchors(part, width)
             first = first + lo
             # Cut the runs at the texts' ends: a text's windows end width - 1 before it does.
             doc = np.searchsorted(starts, first, side="right") - 1
@@ -124,6 +128,54 @@ def _kept_copies(group: _Group, copies: pa.Table) -> np.ndarray:
     return ~np.isin(group.ids, np.array(copies.column("id").to_pylist(), np.int64)) if copies.num_rows else np.ones(len(group.ids), bool)
 
 
+def _bucket_spans(table: pa.Table, width: int) -> pa.Table:
+    """The spans to remove that one bucket's segments tell, by group of documents."""
+    seen: dict[bytes, int] = {}
+    parts = []
+    for row in _rows(table):
+        ends = np.cumsum(np.frombuffer(row["lengths"], np.uint32).astype(np.int64)).tolist()
+        text = row["text"]
+        known = np.array([seen.setdefault(text[s:e], len(seen)) for s, e in zip([0, *ends], ends)], np.int64)
+        owner = _narrow(row["owner"], row["starts"])
+        parts.append((known[np.frombuffer(row["segment"], np.uint32)], np.frombuffer(row["ids"], np.int64)[owner], np.frombuffer(row["slots"], np.uint32)[owner], np.frombuffer(row["starts"], np.uint32).astype(np.int64), np.full(len(owner), row["group"], np.int32)))
+    segment, ids, slots, starts, group = (np.concatenate(c) for c in zip(*parts))
+    least = np.full(len(seen), NO_ID, np.int64)
+    np.minimum.at(least, segment, ids)
+    lengths = np.fromiter(map(len, seen), np.int64, len(seen))
+    begin = np.cumsum(lengths) - lengths
+    windows = lengths - width + 1
+    offset = np.cumsum(windows) - windows
+    places = np.repeat(begin - offset, windows) + np.arange(windows.sum())
+    of = np.repeat(np.arange(len(seen)), windows)
+    classes = equal_windows(np.frombuffer(b"".join(seen), np.uint8), places, width)
+    best = np.full(int(classes.max(initial=0)) + 1, NO_ID, np.int64)
+    np.minimum.at(best, classes, least[of])
+    best = best[classes]  # by window of the distinct segments
+    rows = {"group": [], "slots": [], "starts": [], "stops": []}
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    for s, e in zip(cut, np.append(cut[1:], len(group))):
+        own = order[s:e]
+        n = windows[segment[own]]
+        at = np.repeat(offset[segment[own]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        gone = best[at] < np.repeat(ids[own], n)
+        edge = np.concatenate([[0], np.cumsum(n)[:-1]])
+        before = np.concatenate([[False], gone[:-1]])
+        before[edge] = False
+        after = np.concatenate([gone[1:], [False]])
+        after[edge[1:] - 1] = False
+        who = np.repeat(np.arange(len(own)), n)
+        base = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        a, z = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after)
+        if len(a):
+            rows["group"].append(int(group[s]))
+            rows["slots"].append(_pack(slots[own][who[a]], np.uint32))
+            rows["starts"].append(_pack(base[a], np.uint32))
+            rows["stops"].append(_pack(base[z] + width, np.uint32))
+    return _typed(rows, SPANS)
+
+
 class SubstringDedup:
     """The dedup's stages over docs; `spans` is what they find, `cut` applies a function to it."""
 
@@ -139,7 +191,7 @@ class SubstringDedup:
         self.base = docs.select(group.alias("group"), doc_id.alias("c_id"), text.alias("c_text"), *[docs[c].alias(f"d{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")])
         key = docs.select(group.alias("group"), F.coalesce(doc_id, F.lit(NO_ID)).alias("id"), F.sha2(text, 256).alias("digest")).where("digest is not null")
         least = key.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-        self.copies = key.join(least, "digest").where("id > least").select("group", "id").distinct()
+        self.copies = key.join(small(checkpointed(least), SMALL_ROWS), "digest").where("id > least").select("group", "id").distinct()
 
     def _sent_anchors(self) -> DataFrame:
         width, buckets = self.width, self.buckets
@@ -239,54 +291,7 @@ class SubstringDedup:
     def spans(self) -> DataFrame:
         """(group, slots, starts, stops): packed byte ranges to remove from the documents of a group."""
         width = self.width
-
-        def run(table: pa.Table) -> pa.Table:
-            seen: dict[bytes, int] = {}
-            parts = []
-            for row in _rows(table):
-                ends = np.cumsum(np.frombuffer(row["lengths"], np.uint32).astype(np.int64)).tolist()
-                text = row["text"]
-                known = np.array([seen.setdefault(text[s:e], len(seen)) for s, e in zip([0, *ends], ends)], np.int64)
-                owner = _narrow(row["owner"], row["starts"])
-                parts.append((known[np.frombuffer(row["segment"], np.uint32)], np.frombuffer(row["ids"], np.int64)[owner], np.frombuffer(row["slots"], np.uint32)[owner], np.frombuffer(row["starts"], np.uint32).astype(np.int64), np.full(len(owner), row["group"], np.int32)))
-            segment, ids, slots, starts, group = (np.concatenate(c) for c in zip(*parts))
-            least = np.full(len(seen), NO_ID, np.int64)
-            np.minimum.at(least, segment, ids)
-            lengths = np.fromiter(map(len, seen), np.int64, len(seen))
-            begin = np.cumsum(lengths) - lengths
-            windows = lengths - width + 1
-            offset = np.cumsum(windows) - windows
-            places = np.repeat(begin - offset, windows) + np.arange(windows.sum())
-            of = np.repeat(np.arange(len(seen)), windows)
-            classes = equal_windows(np.frombuffer(b"".join(seen), np.uint8), places, width)
-            best = np.full(int(classes.max(initial=0)) + 1, NO_ID, np.int64)
-            np.minimum.at(best, classes, least[of])
-            best = best[classes]  # by window of the distinct segments
-            rows = {"group": [], "slots": [], "starts": [], "stops": []}
-            order = np.argsort(group, kind="stable")
-            group = group[order]
-            cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            for s, e in zip(cut, np.append(cut[1:], len(group))):
-                own = order[s:e]
-                n = windows[segment[own]]
-                at = np.repeat(offset[segment[own]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                gone = best[at] < np.repeat(ids[own], n)
-                edge = np.concatenate([[0], np.cumsum(n)[:-1]])
-                before = np.concatenate([[False], gone[:-1]])
-                before[edge] = False
-                after = np.concatenate([gone[1:], [False]])
-                after[edge[1:] - 1] = False
-                who = np.repeat(np.arange(len(own)), n)
-                base = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                a, z = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after)
-                if len(a):
-                    rows["group"].append(int(group[s]))
-                    rows["slots"].append(_pack(slots[own][who[a]], np.uint32))
-                    rows["starts"].append(_pack(base[a], np.uint32))
-                    rows["stops"].append(_pack(base[z] + width, np.uint32))
-            return _typed(rows, SPANS)
-
-        return self._segments().groupBy("bucket").applyInArrow(run, SPANS)
+        return self._segments().groupBy("bucket").applyInArrow(lambda table: _bucket_spans(table, width), SPANS)
 
     def cut(self, emit, schema: str) -> DataFrame:
         """emit(table of documents, [(bytes, [(start, stop), ...]) of each row]) over the groups of documents."""

@@ -78,7 +78,8 @@ def cover_ranks(keys: np.ndarray, n: int) -> np.ndarray:
 
     Prefix doubling by whole periods, which lead from cover places to cover places.
     """
-    places = np.flatnonzero(_IN_COVER[np.arange(n) % PERIOD])
+    places = (np.arange(0, n, PERIOD)[:, None] + COVER).ravel()
+    places = places[places < n]
     order, group = _by_prefix(places, keys, PERIOD)
     ranks = np.zeros(n + PERIOD, np.int64)
     reach = PERIOD
@@ -93,10 +94,10 @@ def cover_ranks(keys: np.ndarray, n: int) -> np.ndarray:
     return ranks
 
 
-def sorted_suffixes(text: np.ndarray, places: np.ndarray | None = None, block: int = BLOCK):
+def sorted_suffixes(text: np.ndarray, places: np.ndarray | None = None, block: int = BLOCK, keys: np.ndarray | None = None):
     """Places of text (bytes as uint8), all by default, in the order of their suffixes, block by block."""
     n = len(text)
-    keys = keys_at_every_place(text)
+    keys = keys_at_every_place(text) if keys is None else keys
     ranks = cover_ranks(keys, n)
     places = np.arange(n) if places is None else places
     if not len(places):
@@ -129,7 +130,7 @@ def equal_windows(text: np.ndarray, places: np.ndarray, width: int, block: int =
     offsets = [*range(0, width - STEP + 1, STEP), *([width - STEP] if width % STEP and width >= STEP else [])]
     out = np.empty(len(text), np.int64)
     last, number = None, 0
-    for order in sorted_suffixes(text, places, block):
+    for order in sorted_suffixes(text, places, block, keys):
         if not len(order):
             continue
         line = order if last is None else np.concatenate([[last], order])
