@@ -65,7 +65,8 @@ class Net:
 
     @property
     def graph(self) -> g.Graph:
-        return g.Graph(self.nodes, self.edges, self.index)
+        """All three tables, kept once made: a search reads each of them several times."""
+        return g.Graph(self.nodes.persist(), self.edges.persist(), self.index.persist())
 
     @property
     def points(self) -> DataFrame:
@@ -457,8 +458,8 @@ def sssp_bounded_hops(spark, sf_dir):
 
 @query(None)
 def sssp_exact(spark, sf_dir):
-    net = Net(spark, sf_dir)
-    return exact.exact_costs(_sources(net.edges), search.network_of(net.graph)).select("source", "node_id", r6("cost").alias("cost"))
+    graph = Net(spark, sf_dir).graph
+    return exact.exact_costs(_sources(graph.edges), search.network_of(graph)).select("source", "node_id", r6("cost").alias("cost"))
 
 
 ORACLE_SQL["sssp_exact"] = f"""WITH RECURSIVE {fx.ROADS_SQL}, {_SOURCES_SQL},
@@ -471,9 +472,9 @@ ORACLE_SQL["sssp_exact"] = f"""WITH RECURSIVE {fx.ROADS_SQL}, {_SOURCES_SQL},
     SELECT source, node_id, round(cost, 6) AS cost FROM best"""
 
 
-def _routes(spark, sf_dir, track: bool = False) -> tuple[Net, DataFrame]:
-    net = Net(spark, sf_dir)
-    return net, search.find_paths(fx.requests(spark, sf_dir), net.graph, track)
+def _routes(spark, sf_dir, track: bool = False) -> tuple[g.Graph, DataFrame]:
+    graph = Net(spark, sf_dir).graph
+    return graph, search.find_paths(fx.requests(spark, sf_dir), graph, track)
 
 
 @query(None)
@@ -485,11 +486,11 @@ def route_bidirectional(spark, sf_dir):
 @query("SELECT req_id, true AS ends_match, true AS hops_are_edges, true AS cost_in_range FROM route_request")
 def route_invariants(spark, sf_dir):
     """Per request: a route runs from the start's node to the end's, over edges, at a cost that parallel edges allow."""
-    net, found = _routes(spark, sf_dir)
-    resolved = search.resolve(fx.requests(spark, sf_dir), net.graph)
+    graph, found = _routes(spark, sf_dir)
+    resolved = search.resolve(fx.requests(spark, sf_dir), graph)
     hops = found.where("path is not null").select("req_id", "path", "cost", F.posexplode(F.arrays_zip(F.expr("slice(path, 1, size(path) - 1)").alias("src"), F.expr("slice(path, 2, size(path) - 1)").alias("dst"))).alias("i", "h"))
     hops = hops.select("req_id", F.col("cost").alias("total"), "i", "h.src", "h.dst")
-    cheapest = net.edges.groupBy("src", "dst").agg(F.min("cost").alias("step"), F.max("cost").alias("most"))
+    cheapest = graph.edges.groupBy("src", "dst").agg(F.min("cost").alias("step"), F.max("cost").alias("most"))
     checked = hops.join(cheapest, ["src", "dst"], "left").groupBy("req_id").agg(F.bool_and(F.col("step").isNotNull()).alias("hops"), F.first("total").between(F.sum("step") - 1e-9, F.sum("most") + 1e-9).alias("adds"))
     ends = (F.col("path")[0] == F.col("start_node")) & (F.element_at("path", -1) == F.col("end_node"))
     whole = resolved.select("req_id", "start_node", "end_node").join(found, "req_id").join(checked, "req_id", "left")
@@ -512,8 +513,8 @@ def route_trace(spark, sf_dir):
 
 @query(None)
 def route_steps(spark, sf_dir):
-    net, found = _routes(spark, sf_dir)
-    return search.route_steps(found, net.nodes).select("req_id", "step", "node_id", "turn")
+    graph, found = _routes(spark, sf_dir)
+    return search.route_steps(found, graph.nodes).select("req_id", "step", "node_id", "turn")
 
 
 @query(None)
