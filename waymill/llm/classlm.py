@@ -19,13 +19,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, text_groups, written
+from .common import crc_bucket, spilled, text_groups
 
 CLASSES = 64  # the end's, the seeds', the others', and that of words seen once
 END, RARE, OTHERS = 0, CLASSES - 1, CLASSES - 2
 SLOTS = 2 * CLASSES  # a word's contexts: the class before it, then the class after it
 ROUNDS = 4
-BATCH = 32 << 20
+BATCH = 12 << 20
 BUCKET_WORDS = 150_000  # a bucket's words, a batch each, on average
 SEED_CANDIDATES = 1024  # of a batch, its most frequent words
 
@@ -58,7 +58,7 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """The written batches of docs(doc_id, text, held): see ENCODED. Word 0 of a batch is the end."""
+    """The batches of docs(doc_id, text, held): see ENCODED. Word 0 of a batch is the end."""
 
     def run(batches):
         for batch, texts in text_groups(batches, limit=BATCH):
@@ -77,7 +77,7 @@ def encode(docs: DataFrame) -> DataFrame:
             yield _record([row], ENCODED)
 
     part = F.monotonically_increasing_id()
-    return written(docs.select(F.col("doc_id").cast("long"), "text", "held", part.alias("part")).mapInArrow(run, ENCODED))
+    return spilled(docs.select(F.col("doc_id").cast("long"), "text", "held", part.alias("part")).mapInArrow(run, ENCODED))
 
 
 def _training(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +134,7 @@ def requests(encoded: DataFrame, seeded: dict[bytes, int], buckets: int) -> Data
 
 
 def gather(asked: DataFrame) -> DataFrame:
-    """The written buckets: distinct words with their totals over all batches, and who asked for which."""
+    """The buckets: distinct words with their totals over all batches, and who asked for which."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -158,7 +158,7 @@ def gather(asked: DataFrame) -> DataFrame:
         )
         return pa.Table.from_batches([_record([row], BUCKETS)])
 
-    return written(asked.groupBy("bucket").applyInArrow(run, BUCKETS))
+    return spilled(asked.groupBy("bucket").applyInArrow(run, BUCKETS))
 
 
 def _contexts(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +223,7 @@ def exchange(gathered: DataFrame, seeded: dict[bytes, int], rounds: int = ROUNDS
 
 
 def assign(encoded: DataFrame, gathered: DataFrame, seeded: dict[bytes, int], profiles: np.ndarray) -> DataFrame:
-    """The written batches with the total and the class of each of their words: see MERGED."""
+    """The batches with the total and the class of each of their words: see MERGED."""
 
     def reply(batches):
         for batch in batches:
@@ -245,7 +245,7 @@ def assign(encoded: DataFrame, gathered: DataFrame, seeded: dict[bytes, int], pr
 
     answers = gathered.mapInArrow(reply, REPLIES)
     narrow = encoded.drop("words", "counts")
-    return written(narrow.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(merge, MERGED))
+    return spilled(narrow.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(merge, MERGED))
 
 
 class Model:
@@ -287,14 +287,15 @@ def score_batches(merged: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                totals, classes = _unpacked(row["totals"], np.int64), _unpacked(row["classes"], np.uint8).astype(np.int64)
-                codes, lengths = _unpacked(row["codes"], np.uint32).astype(np.int64), np.array(row["lengths"], np.int64)
+                totals, classes = _unpacked(row["totals"], np.int64), _unpacked(row["classes"], np.uint8)
+                codes, lengths = _unpacked(row["codes"], np.uint32), np.array(row["lengths"], np.int64)
                 starts = np.cumsum(lengths) - lengths
                 base = np.log10((totals + 1) / (model.n + model.v + 1))
                 own = classes[codes]
-                before = np.concatenate([[END], own[:-1]])
+                before = np.concatenate([np.array([END], np.uint8), own[:-1]])
                 before[starts] = END
-                logs = model.log_moves[before, own] + model.emissions(totals, classes)[codes]
+                logs = model.log_moves[before, own]
+                logs += model.emissions(totals, classes)[codes]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths),

@@ -6,11 +6,15 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches are re-cut to about this many bytes of text before array work.
 BATCH_BYTES = 4 << 20
+ROWS_PER_FILE = 500_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +28,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder, its lineage cut."""
+def checkpointed(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """df written once to the shared checkpoint folder, its lineage cut.
+
+    A narrow table, of a few numbers a row, is gathered into files of ROWS_PER_FILE rows
+    first: many tasks' few rows would else make as many files.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not narrow:
+        return df.checkpoint(eager=True)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    files = max(1, -(-kept.count() // ROWS_PER_FILE))
+    done = kept.coalesce(files).checkpoint(eager=True)
+    kept.unpersist()
+    return done
+
+
+def spilled(df: DataFrame) -> DataFrame:
+    """df kept on the executors' disks once it is made, for wide tables that are read several times.
+
+    What a lost executor held is made again from df's own lineage.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
@@ -44,16 +66,21 @@ def fresh(taken: list[str], wanted: str) -> str:
 
 
 def text_groups(batches, column: str = "text", limit: int = BATCH_BYTES):
-    """(record batch, encoded texts) of consecutive rows that hold about limit bytes; null is empty."""
+    """(record batch, encoded texts) of consecutive rows that hold about limit bytes; null is empty.
+
+    Only one group's texts are Python objects at a time.
+    """
     for batch in batches:
-        texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column(column).to_pylist()]
+        texts = batch.column(column)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         at = 0
-        while at < len(texts):
+        while at < len(sizes):
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= limit):
-                size += len(texts[end])
+            while end < len(sizes) and (end == at or size + sizes[end] <= limit):
+                size += sizes[end]
                 end += 1
-            yield batch.slice(at, end - at), texts[at:end]
+            part = texts.slice(at, end - at).cast(pa.binary()).to_pylist()
+            yield batch.slice(at, end - at), [b"" if t is None else t for t in part]
             at = end
 
 
