@@ -16,6 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,8 +116,15 @@ class _Group:
         self.texts = [r[1] for r in rows]
 
 
-def _pack(a: np.ndarray, kind) -> bytes:
-    return np.ascontiguousarray(a, dtype=kind).tobytes()
+def _pack(a: np.ndarray, kind=np.uint32) -> bytes:
+    """Numbers as compressed bytes: by their differences, which are small where they are in order."""
+    return zstandard.compress(np.diff(np.asarray(a, np.int64), prepend=0).astype(kind).tobytes(), 1)
+
+
+def _unpack(data: bytes, kind=np.uint32) -> np.ndarray:
+    if kind is np.int64:
+        return np.cumsum(np.frombuffer(zstandard.decompress(data), np.int64))
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), np.int32).astype(np.int64))
 
 
 def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -133,11 +141,11 @@ def _bucket_spans(table: pa.Table, width: int) -> pa.Table:
     seen: dict[bytes, int] = {}
     parts = []
     for row in _rows(table):
-        ends = np.cumsum(np.frombuffer(row["lengths"], np.uint32).astype(np.int64)).tolist()
-        text = row["text"]
+        ends = np.cumsum(_unpack(row["lengths"])).tolist()
+        text = zstandard.decompress(row["text"])
         known = np.array([seen.setdefault(text[s:e], len(seen)) for s, e in zip([0, *ends], ends)], np.int64)
-        owner = _narrow(row["owner"], row["starts"])
-        parts.append((known[np.frombuffer(row["segment"], np.uint32)], np.frombuffer(row["ids"], np.int64)[owner], np.frombuffer(row["slots"], np.uint32)[owner], np.frombuffer(row["starts"], np.uint32).astype(np.int64), np.full(len(owner), row["group"], np.int32)))
+        owner = _unpack(row["owner"])
+        parts.append((known[_unpack(row["segment"])], _unpack(row["ids"], np.int64)[owner], _unpack(row["slots"])[owner], _unpack(row["starts"]), np.full(len(owner), row["group"], np.int32)))
     segment, ids, slots, starts, group = (np.concatenate(c) for c in zip(*parts))
     least = np.full(len(seen), NO_ID, np.int64)
     np.minimum.at(least, segment, ids)
@@ -170,9 +178,9 @@ def _bucket_spans(table: pa.Table, width: int) -> pa.Table:
         a, z = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after)
         if len(a):
             rows["group"].append(int(group[s]))
-            rows["slots"].append(_pack(slots[own][who[a]], np.uint32))
-            rows["starts"].append(_pack(base[a], np.uint32))
-            rows["stops"].append(_pack(base[z] + width, np.uint32))
+            rows["slots"].append(_pack(slots[own][who[a]]))
+            rows["starts"].append(_pack(base[a]))
+            rows["stops"].append(_pack(base[z] + width))
     return _typed(rows, SPANS)
 
 
@@ -191,7 +199,7 @@ class SubstringDedup:
         self.base = docs.select(group.alias("group"), doc_id.alias("c_id"), text.alias("c_text"), *[docs[c].alias(f"d{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")])
         key = docs.select(group.alias("group"), F.coalesce(doc_id, F.lit(NO_ID)).alias("id"), F.sha2(text, 256).alias("digest")).where("digest is not null")
         least = key.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-        self.copies = key.join(small(checkpointed(least), SMALL_ROWS), "digest").where("id > least").select("group", "id").distinct()
+        self.copies = key.join(small(checkpointed(least, narrow=True), SMALL_ROWS), "digest").where("id > least").select("group", "id").distinct()
 
     def _sent_anchors(self) -> DataFrame:
         width, buckets = self.width, self.buckets
@@ -202,7 +210,7 @@ class SubstringDedup:
             slot, start, _, h = anchors([group.texts[i] for i in kept], width)
             slot = kept[slot] if len(slot) else slot
             bucket = _bucket_of(h, buckets)
-            order = np.argsort(h)
+            order = np.argsort(bucket, kind="stable")
             slot, start, h, bucket = slot[order], start[order], h[order], bucket[order]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(h) else np.empty(0, np.int64)
             rows = {"bucket": [], "group": [], "ids": [], "slots": [], "hashes": [], "owner": [], "starts": []}
@@ -212,10 +220,10 @@ class SubstringDedup:
                 rows["bucket"].append(int(bucket[s]))
                 rows["group"].append(number)
                 rows["ids"].append(_pack(group.ids[here], np.int64))
-                rows["slots"].append(_pack(here, np.uint32))
+                rows["slots"].append(_pack(here))
                 rows["hashes"].append((h[s:e] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())  # 48 bits
-                rows["owner"].append(_pack(owner, np.uint16 if len(here) < 65536 else np.uint32))
-                rows["starts"].append(_pack(start[s:e], np.uint32))
+                rows["owner"].append(_pack(owner))
+                rows["starts"].append(_pack(start[s:e]))
             return _typed(rows, SENT)
 
         return self._cogroup(self.copies, run, SENT)
@@ -229,23 +237,23 @@ class SubstringDedup:
         def run(sent: pa.Table) -> pa.Table:
             parts = []
             for k, row in enumerate(_rows(sent)):
-                owner = _narrow(row["owner"], row["starts"])
+                owner = _unpack(row["owner"])
                 raw = np.zeros((len(owner), 8), np.uint8)
                 raw[:, :6] = np.frombuffer(row["hashes"], np.uint8).reshape(-1, 6)
-                ids, slots = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["slots"], np.uint32)
-                parts.append((raw.view("<u8").ravel(), ids[owner], slots[owner], np.frombuffer(row["starts"], np.uint32), np.full(len(owner), row["group"], np.int32)))
+                ids, slots = _unpack(row["ids"], np.int64), _unpack(row["slots"])
+                parts.append((raw.view("<u8").ravel(), ids[owner], slots[owner], _unpack(row["starts"]), np.full(len(owner), row["group"], np.int32)))
             h, ids, slots, starts, group = (np.concatenate(c) for c in zip(*parts))
             order = np.argsort(h, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
             low, high = np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)
             found = order[np.repeat(low != high, np.diff(np.append(first, len(h))))]
-            found = found[np.argsort(group[found], kind="stable")]
+            found = found[np.lexsort((starts[found], slots[found], group[found]))]
             cut = np.flatnonzero(np.concatenate([[True], group[found[1:]] != group[found[:-1]]])) if len(found) else np.empty(0, np.int64)
             rows = {"group": [], "slots": [], "starts": []}
             for s, e in zip(cut, np.append(cut[1:], len(found))):
                 rows["group"].append(int(group[found[s]]))
-                rows["slots"].append(_pack(slots[found[s:e]], np.uint32))
-                rows["starts"].append(_pack(starts[found[s:e]], np.uint32))
+                rows["slots"].append(_pack(slots[found[s:e]]))
+                rows["starts"].append(_pack(starts[found[s:e]]))
             return _typed(rows, REPEATED)
 
         return self._sent_anchors().groupBy("bucket").applyInArrow(run, REPEATED)
@@ -258,7 +266,7 @@ class SubstringDedup:
             rows = {"bucket": [], "group": [], "ids": [], "slots": [], "owner": [], "starts": [], "segment": [], "lengths": [], "text": []}
             if docs.num_rows and repeated.num_rows:
                 group = _Group(docs)
-                wanted = np.concatenate([np.frombuffer(r["slots"], np.uint32).astype(np.int64) << 32 | np.frombuffer(r["starts"], np.uint32) for r in _rows(repeated)])
+                wanted = np.concatenate([_unpack(r["slots"]) << 32 | _unpack(r["starts"]) for r in _rows(repeated)])
                 use = np.unique(wanted >> 32)
                 slot, start, count, h = anchors([group.texts[i] for i in use], width)
                 slot = use[slot]
@@ -278,12 +286,12 @@ class SubstringDedup:
                     rows["bucket"].append(int(bucket[s]))
                     rows["group"].append(docs.column("group")[0].as_py())
                     rows["ids"].append(_pack(group.ids[here], np.int64))
-                    rows["slots"].append(_pack(here, np.uint32))
-                    rows["owner"].append(_pack(owner, np.uint16 if len(here) < 65536 else np.uint32))
-                    rows["starts"].append(_pack(start[s:e], np.uint32))
-                    rows["segment"].append(_pack(segment, np.uint32))
-                    rows["lengths"].append(_pack([len(t) for t in seen], np.uint32))
-                    rows["text"].append(b"".join(seen))
+                    rows["slots"].append(_pack(here))
+                    rows["owner"].append(_pack(owner))
+                    rows["starts"].append(_pack(start[s:e]))
+                    rows["segment"].append(_pack(segment))
+                    rows["lengths"].append(_pack([len(t) for t in seen]))
+                    rows["text"].append(zstandard.compress(b"".join(seen), 1))
             return _typed(rows, SEGMENTS)
 
         return self._cogroup(self._repeated(), run, SEGMENTS)
@@ -304,7 +312,7 @@ class SubstringDedup:
             copies = {i for i in notes.column("id").to_pylist() if i is not None} if notes.num_rows else set()
             spans = [r for r in _rows(notes) if r["slots"] is not None]
             if spans:
-                slot, start, stop = (np.concatenate([np.frombuffer(r[c], np.uint32) for r in spans]).astype(np.int64) for c in ("slots", "starts", "stops"))
+                slot, start, stop = (np.concatenate([_unpack(r[c]) for r in spans]) for c in ("slots", "starts", "stops"))
                 order = np.lexsort((start, slot))
                 slot, start, stop = slot[order], start[order], stop[order]
                 bounds = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
@@ -335,10 +343,6 @@ def _rows(table: pa.Table):
     return table.to_pylist()
 
 
-def _narrow(owner: bytes, starts: bytes) -> np.ndarray:
-    return np.frombuffer(owner, np.uint16 if len(owner) * 2 == len(starts) else np.uint32)
-
-
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     at, out = 0, []
     for start, stop in spans:
