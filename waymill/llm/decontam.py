@@ -67,10 +67,10 @@ class Index:
     def __init__(self, docs: DataFrame, benchmark: DataFrame):
         words = item_words(benchmark)
         vocabulary = words.select("word").distinct()
-        terms = checkpointed(vocabulary.select("word", F.row_number().over(Window.orderBy("word")).cast("int").alias("term")))
+        terms = checkpointed(vocabulary.select("word", F.row_number().over(Window.orderBy("word")).cast("int").alias("term")), narrow=True)
         self.postings = build_index(docs, terms)
         counts = self.postings.groupBy("term").agg(F.count("*").alias("count"))
-        self.items = checkpointed(words.join(terms, "word").join(counts, "term", "left").select("item", "item_id", "n", "pos", "term", F.coalesce("count", F.lit(0)).alias("count")))
+        self.items = checkpointed(words.join(terms, "word").join(counts, "term", "left").select("item", "item_id", "n", "pos", "term", F.coalesce("count", F.lit(0)).alias("count")), narrow=True)
 
     def windows(self, width: int) -> DataFrame:
         """(item, t0, p0, t1, p1, ...): the rarest terms of each window and their places in the item."""
@@ -82,13 +82,13 @@ class Index:
 
     def alignments(self, width: int) -> DataFrame:
         """(id, th, item, delta): where LISTS rarest terms of a window of item stand as in item."""
-        rarest = checkpointed(self.windows(width))
+        rarest = checkpointed(self.windows(width), narrow=True)
         found = self.postings.withColumnRenamed("term", "t0").join(small(rarest, SMALL_ROWS), "t0").withColumn("delta", F.col("pos") - F.col("p0")).drop("pos", "t0", "p0")
         for k in range(1, LISTS):
             wanted = rarest.select(F.col(f"t{k}").alias("term")).distinct()
             lists = self.postings.join(small(wanted, SMALL_ROWS), "term", "left_semi").withColumnRenamed("term", f"t{k}")
             found = found.withColumn("pos", F.col("delta") + F.col(f"p{k}")).join(lists, [*DOC, "pos", f"t{k}"]).drop("pos", f"t{k}", f"p{k}")
-        return checkpointed(found.select(*DOC, "item", "delta").distinct())
+        return checkpointed(found.select(*DOC, "item", "delta").distinct(), narrow=True)
 
     def phrases(self, width: int = WINDOW) -> DataFrame:
         """(id, th, item, item_id, start, length): the maximal exact matches that hold a whole window.
@@ -111,7 +111,7 @@ class Index:
         of the rarest one's place start, in any order. Items of fewer distinct words use them all."""
         order = Window.partitionBy("item").orderBy("count", "term")
         rare = self.items.groupBy("item", "item_id", "term", "count").agg(F.min("pos").alias("pos")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= terms)
-        rare = checkpointed(rare.withColumn("wanted", F.count("*").over(Window.partitionBy("item"))).select("item", "item_id", "term", "k", "wanted"))
+        rare = checkpointed(rare.withColumn("wanted", F.count("*").over(Window.partitionBy("item"))).select("item", "item_id", "term", "k", "wanted"), narrow=True)
         lists = self.postings.join(small(rare.select("term").distinct(), SMALL_ROWS), "term", "left_semi")
         cell = F.floor(F.col("pos") / span)
         first = lists.join(small(rare.where("k = 1").drop("k"), SMALL_ROWS), "term").select(*DOC, "item", "item_id", "wanted", F.col("pos").alias("start"), cell.alias("cell"))
@@ -135,11 +135,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
     repeated items count once. No documents give no rows; no items hit nothing. Other columns
     are not read.
     """
-    matches = checkpointed(Index(docs, benchmark).phrases(width))
+    matches = checkpointed(Index(docs, benchmark).phrases(width), narrow=True)
     hit = hit_words(matches)
     items = matches.groupBy(*DOC).agg(F.collect_set("item_id").alias("items"))
     found = hit.join(items, DOC)
-    rows = keyed(docs).select("doc_id", *DOC, n_words(F.col("text")).alias("n_words")).join(small(checkpointed(found), SMALL_ROWS), DOC, "left")
+    rows = keyed(docs).select("doc_id", *DOC, n_words(F.col("text")).alias("n_words")).join(small(checkpointed(found, narrow=True), SMALL_ROWS), DOC, "left")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
     return rows.select(
         "doc_id",
@@ -153,8 +153,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows, as contamination() judges them; columns as they are."""
-    hit = hit_words(checkpointed(Index(docs, benchmark).phrases()))
-    judged = keyed(docs).select(*DOC, n_words(F.col("text")).alias("n_words")).join(small(checkpointed(hit), SMALL_ROWS), DOC).where("20 * n_hit >= n_words")
-    bad = small(checkpointed(judged.select(F.col("id").alias("bad_id"), F.col("th").alias("bad_th")).distinct()), SMALL_ROWS)
+    hit = hit_words(checkpointed(Index(docs, benchmark).phrases(), narrow=True))
+    judged = keyed(docs).select(*DOC, n_words(F.col("text")).alias("n_words")).join(small(checkpointed(hit, narrow=True), SMALL_ROWS), DOC).where("20 * n_hit >= n_words")
+    bad = small(checkpointed(judged.select(F.col("id").alias("bad_id"), F.col("th").alias("bad_th")).distinct(), narrow=True), SMALL_ROWS)
     text, doc_id = F.coalesce(docs["text"], F.lit("")), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
     return docs.join(bad, (doc_id == F.col("bad_id")) & (F.xxhash64(text) == F.col("bad_th")), "left_anti")
