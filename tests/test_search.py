@@ -100,6 +100,20 @@ def test_too_large_a_graph_is_refused(spark):
         search.network_of(sink_graph(spark), RouteConfig(broadcast_edges=1))
 
 
+def test_a_large_graph_is_mapped_from_files(spark, tmp_path):
+    from tests.test_graph import request, sink_graph
+
+    graph = sink_graph(spark)
+    plain, mapped = search.network_of(graph), search.map_network(graph, str(tmp_path), chunk=2)
+    opened = search.Network.open(mapped.folder)
+    for a, b in zip(plain.sides, opened.sides):
+        assert all((getattr(a, part) == getattr(b, part)).all() for part in search.LAYOUT)
+    assert (plain.lon == opened.lon).all()
+    rows = request(spark, (37, 127.02, 37, 127.03), (37, 127.0, 37, 127.03))
+    found = search.find_paths(rows, graph, config=RouteConfig(broadcast_edges=1)).collect()
+    assert sorted((r["req_id"], r["status"], r["path"]) for r in found) == sorted((r["req_id"], r["status"], r["path"]) for r in search.find_paths(rows, graph).collect())
+
+
 def test_stream_of_requests(spark, tmp_path):
     from tests.test_graph import request, sink_graph
     from waymill.streaming.requests import answer_stream

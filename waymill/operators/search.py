@@ -12,10 +12,13 @@ from __future__ import annotations
 
 import heapq
 import math
+import os
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,9 @@ class Layout:
         return cls(np.cumsum(at), other[order], cost[order], level[order])
 
 
+LAYOUT = ("at", "other", "cost", "level")
+
+
 @dataclass
 class Network:
     lon: np.ndarray
@@ -68,6 +74,12 @@ class Network:
         small = level.astype(np.int8)
         return cls(lon, lat, (Layout.of(src, dst.astype(np.int32), cost, small, edge, n), Layout.of(dst, src.astype(np.int32), cost, small, edge, n)))
 
+    @classmethod
+    def open(cls, folder: str) -> "Network":
+        """The network whose arrays lie in folder, mapped into memory."""
+        load = lambda name: np.load(f"{folder}/{name}.npy", mmap_mode="r")
+        return cls(load("lon"), load("lat"), tuple(Layout(*(load(f"{side}_{part}") for part in LAYOUT)) for side in ("out", "in")))
+
     def km(self, a: int, b: int) -> float:
         p, q = math.radians(self.lat[a]), math.radians(self.lat[b])
         h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((math.radians(self.lon[b]) - math.radians(self.lon[a])) / 2) ** 2
@@ -165,7 +177,7 @@ def search_one_sided(network: Network, start: int, end: int):
 
 
 def network_of(graph: Graph, config: RouteConfig = RouteConfig()) -> Network:
-    """The graph's arrays on the driver; GraphTooLarge beyond config.broadcast_edges (about 26 bytes an edge)."""
+    """The graph's arrays on the driver; GraphTooLarge beyond config.broadcast_edges (about 13 bytes an edge and direction)."""
     count = graph.edges.count()
     if count > config.broadcast_edges:
         raise GraphTooLarge(f"{count} edges; at most {config.broadcast_edges} are broadcast")
@@ -174,12 +186,59 @@ def network_of(graph: Graph, config: RouteConfig = RouteConfig()) -> Network:
     return Network.of(nodes, edges, config.cache_mode)
 
 
-def routes_by_node(requests: DataFrame, network: Network, track: bool = False, config: RouteConfig = RouteConfig()) -> DataFrame:
+def map_network(graph: Graph, folder: str, config: RouteConfig = RouteConfig(), chunk: int = 1_000_000) -> "MappedNetwork":
+    """The graph's arrays as files in folder on the driver, filled a range of chunk nodes at a time.
+
+    For graphs too large to broadcast: the driver holds one range's edges, and executors map
+    the files and share their pages. Edges sorted by node make each range a pruned read.
+    """
+    count, top = graph.edges.count(), graph.nodes.agg(F.max("node_id")).first()[0]
+    n = 0 if top is None else int(top) + 1
+    new = lambda name, kind, size: np.lib.format.open_memmap(f"{folder}/{name}.npy", "w+", kind, (size,))
+    lon, lat = new("lon", np.float64, n), new("lat", np.float64, n)
+    sides = [(side, node, other, [new(f"{side}_{part}", kind, size) for part, kind, size in zip(LAYOUT, (np.int64, np.int32, np.float64, np.int8), (3 * n + 1, count, count, count))]) for side, node, other in (("out", "src", "dst"), ("in", "dst", "src"))]
+    filled = [0, 0]
+    for low in range(0, n, chunk):
+        high = min(low + chunk, n)
+        own = graph.nodes.where(F.col("node_id").between(low, high - 1)).select("node_id", "lon", "lat").toPandas()
+        lon[own["node_id"]], lat[own["node_id"]] = own["lon"], own["lat"]
+        for i, (_, node, other, (at, others, costs, levels)) in enumerate(sides):
+            e = graph.edges.where(F.col(node).between(low, high - 1)).select("edge_id", node, F.col(other).alias("other"), "cost", "road_level").toPandas()
+            cost, level = e["cost"].to_numpy(np.float64), e["road_level"].to_numpy(np.int64)
+            if config.cache_mode is CacheMode.EDGE:
+                cost = np.where(level == 0, cost.astype(np.float32).astype(np.float64), cost)
+            part = Layout.of(e[node].to_numpy(np.int64) - low, e["other"].to_numpy(np.int32), cost, level.astype(np.int8), e["edge_id"].to_numpy(np.int64), high - low)
+            start, stop = filled[i], filled[i] + len(e)
+            at[3 * low : 3 * high + 1] = part.at + start
+            others[start:stop], costs[start:stop], levels[start:stop] = part.other, part.cost, part.level
+            filled[i] = stop
+    for array in (lon, lat, *(a for s in sides for a in s[3])):
+        array.flush()
+    return MappedNetwork(folder)
+
+
+@dataclass(frozen=True)
+class MappedNetwork:
+    """A folder of map_network()'s files; Spark hands it to the executors."""
+
+    folder: str
+
+    def share(self, spark: SparkSession):
+        spark.sparkContext.addFile(self.folder, recursive=True)
+        name = os.path.basename(self.folder.rstrip("/"))
+        return lambda: Network.open(SparkFiles.get(name))
+
+
+def routes_by_node(requests: DataFrame, network: Network | MappedNetwork, track: bool = False, config: RouteConfig = RouteConfig()) -> DataFrame:
     """FOUND for requests(req_id, start_node, end_node); path, cost are null where no route is found, trace without track."""
-    shared = requests.sparkSession.sparkContext.broadcast(network)
+    if isinstance(network, MappedNetwork):
+        opened = network.share(requests.sparkSession)
+    else:
+        shared = requests.sparkSession.sparkContext.broadcast(network)
+        opened = lambda: shared.value
 
     def run(batches):
-        network = shared.value
+        network = opened()
 
         def place(i: int) -> dict:
             return {"lat": float(network.lat[i]), "lon": float(network.lon[i])}
@@ -214,13 +273,18 @@ def resolve(requests: DataFrame, graph: Graph, config: RouteConfig = RouteConfig
     return requests.join(pairs, "req_id", "left").withColumn("status", status).drop("edges")
 
 
-def find_paths(requests: DataFrame, graph: Graph, track: bool = False, strict: bool = False, config: RouteConfig = RouteConfig(), network: Network | None = None) -> DataFrame:
+def find_paths(requests: DataFrame, graph: Graph, track: bool = False, strict: bool = False, config: RouteConfig = RouteConfig(), network: Network | MappedNetwork | None = None) -> DataFrame:
     """(req_id, status, path, cost, trace) of requests(req_id, start_lat, start_lon, end_lat, end_lon).
 
     status is that of resolve(), or NO_ROUTE. strict raises EmptyGeometry if any request
-    can't be resolved, which fails the whole batch.
+    can't be resolved, which fails the whole batch. Without a network given, one is broadcast,
+    or mapped from files where the graph is too large for that.
     """
-    network = network or network_of(graph, config)
+    if network is None:
+        try:
+            network = network_of(graph, config)
+        except GraphTooLarge:
+            network = map_network(graph, tempfile.mkdtemp(prefix="network"), config)
     resolved = resolve(requests, graph, config)
     if strict:
         bad = resolved.where("status <> 'OK'").select("req_id", "status").limit(1).collect()
