@@ -25,7 +25,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     checkpointed in the shared folder, so a lost executor repeats one round at most.
     """
     edges = checkpointed(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
+        narrow=True,
     )
     state = None
     while True:
@@ -35,7 +36,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         new = small.select("u", F.col("m").alias("v")).unionByName(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        edges = checkpointed(new.where("u <> v").distinct())
+        edges = checkpointed(new.where("u <> v").distinct(), narrow=True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -168,8 +168,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
     come back repeated; a null doc_id takes the smallest id of its component, null if there
     is none. Other columns are not read. No rows give no rows.
     """
-    prints = checkpointed(fingerprints(docs, width, seed))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    prints = checkpointed(fingerprints(docs, width, seed), narrow=True)
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), narrow=True)
     roots = connected_components(fingerprint_links(distinct.select("fp")))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -184,6 +184,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     a doc_id stay, one of them, where no row of their group has one.
     """
     found = near_duplicates(docs)
-    kept = checkpointed(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).count())
+    kept = checkpointed(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).count(), narrow=True)
     rest = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     return rest if kept.where("count > 1").isEmpty() else rest.dropDuplicates(["doc_id"])
