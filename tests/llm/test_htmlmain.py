@@ -22,6 +22,7 @@ def page(article, around="", classes="post-12 main"):
         ("<p>text</p><section id='comments'><p>a reader's words, and many more of them than the article has</p></section>", "text"),
         ("<p>text</p><div class='cookie-notice'>no</div><div hidden>no</div><div role=navigation>no</div>", "text"),
         ("<table><tr><td>a<td>b</table><ul><li>c<li>d</ul>", "a b c d"),
+        ("<div class='has-sidebar with-comments'><p>kept</p></div><div class='left sidebar'>no</div>", "kept"),
         ("<P CLASS=x>Caps</P><![CDATA[<raw>]]>", "Caps <raw>"),
     ],
 )

@@ -33,6 +33,7 @@ BOILERPLATE = set(
     "notice notices alert sidebar side menu nav navbar navigation breadcrumb breadcrumbs header footer masthead comment comments reply replies respond disqus "
     "share sharing social related recommended newsletter subscribe subscription signup login form pagination pager widget toolbar skip".split()
 )
+QUALIFIERS = set("has is no with without".split())  # fixed values: what begins a class that only tells of boilerplate elsewhere
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -57,8 +58,8 @@ def _general(tag: str, attrs: str) -> tuple[str, bool]:
             if name in ("class", "id"):
                 if name == "class":
                     classes += [re.sub(r"\d+", "#", c) for c in value.split()]
-                words = {w for w in re.split(r"[^a-z]+", value) if w}
-                boiler |= bool(words & BOILERPLATE)
+                marks = [re.findall("[a-z]+", c) for c in value.split()]
+                boiler |= any(BOILERPLATE.intersection(words) for words in marks if words and words[0] not in QUALIFIERS)
             elif name == "role":
                 boiler |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
             else:
@@ -109,7 +110,7 @@ def parse(page: str) -> Node:
         if tag == ROOT:
             continue
         general, boiler = _general(tag, m[4])
-        child = Node(tag, f"{node.path}>{general}", node, tag in DROPPED or (boiler and tag not in ("body", "html")))
+        child = Node(tag, f"{node.path}>{general}", node, tag in DROPPED or (boiler and tag not in ("body", "main")))
         node.children.append(child)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
