@@ -31,4 +31,4 @@ class RouteConfig:
     snap_candidates: int = 5
     cache_mode: CacheMode = CacheMode.INDEX_ONLY
     broadcast_edges: int = 50_000_000
-    requests_per_task: int = 256
+    requests_per_task: int = 64

@@ -61,6 +61,10 @@ class Network:
     lat: np.ndarray
     sides: tuple[Layout, Layout]
 
+    def __post_init__(self):
+        self.x, self.y = np.radians(self.lon), np.radians(self.lat)
+        self.cos_y = np.cos(self.y)
+
     @classmethod
     def of(cls, nodes: pd.DataFrame, edges: pd.DataFrame, mode: CacheMode = CacheMode.INDEX_ONLY) -> "Network":
         """nodes(node_id, lon, lat) and edges(edge_id, src, dst, cost, road_level)."""
@@ -81,22 +85,19 @@ class Network:
         return cls(load("lon"), load("lat"), tuple(Layout(*(load(f"{side}_{part}") for part in LAYOUT)) for side in ("out", "in")))
 
     def km(self, a: int, b: int) -> float:
-        p, q = math.radians(self.lat[a]), math.radians(self.lat[b])
-        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((math.radians(self.lon[b]) - math.radians(self.lon[a])) / 2) ** 2
+        h = math.sin((self.y[b] - self.y[a]) / 2) ** 2 + self.cos_y[a] * self.cos_y[b] * math.sin((self.x[b] - self.x[a]) / 2) ** 2
         return 2 * EARTH_KM * math.asin(math.sqrt(h))
 
-    def estimate(self, node: int, target: int) -> float:
-        return self.km(node, target) / HEURISTIC_SPEED * HEURISTIC_WEIGHT
-
-    def slice(self, side: int, node: int, arrived: int | None, target: int) -> range:
-        """The edges that a node reached by an edge of level `arrived` goes on with."""
-        at, first = self.sides[side].at, 3 * node
-        every = range(at[first], at[first + 3])
-        if arrived == 0:
-            return range(at[first], at[first + 1]) or every
-        if arrived == 1 and self.km(node, target) / HEURISTIC_SPEED > NEAR_TARGET:
-            return range(at[first + 1], at[first + 3])
-        return every
+    def edges(self, side: int, node: int, arrived: int | None, km_left: float):
+        """(other end, cost, level) of the edges that a node reached by an edge of level `arrived`,
+        km_left from the target, goes on with."""
+        layout = self.sides[side]
+        start, above, _, stop = layout.at[3 * node : 3 * node + 4].tolist()
+        if arrived == 0 and above > start:
+            stop = above
+        elif arrived == 1 and km_left / HEURISTIC_SPEED > NEAR_TARGET:
+            start = above
+        return zip(layout.other[start:stop].tolist(), layout.cost[start:stop].tolist(), layout.level[start:stop].tolist())
 
 
 class _Side:
@@ -105,11 +106,26 @@ class _Side:
     def __init__(self, network: Network, side: int, start: int, target: int):
         self.network, self.side, self.target = network, side, target
         self.cost, self.previous, self.done = {start: 0.0}, {}, set()
-        self.queue, self.pushed = [(network.estimate(start, target), 0, start, 0.0, None)], 0
+        self.left: dict[int, float] = {}
+        # Views give plain floats, which are much faster here than an array's own.
+        self.x, self.y, self.cos_y = memoryview(network.x), memoryview(network.y), memoryview(network.cos_y)
+        self.end = self.x[target], self.y[target], self.cos_y[target]
+        self.queue, self.pushed = [(self.estimate(start), 0, start, 0.0, None)], 0
+
+    def km_left(self, node: int) -> float:
+        km = self.left.get(node)
+        if km is None:
+            x, y, cos_y = self.end
+            h = math.sin((y - self.y[node]) / 2) ** 2 + self.cos_y[node] * cos_y * math.sin((x - self.x[node]) / 2) ** 2
+            km = self.left[node] = 2 * EARTH_KM * math.asin(math.sqrt(h))
+        return km
+
+    def estimate(self, node: int) -> float:
+        return self.km_left(node) / HEURISTIC_SPEED * HEURISTIC_WEIGHT
 
     def push(self, node: int, cost: float, level: int) -> None:
         self.pushed += 1
-        heapq.heappush(self.queue, (cost + self.network.estimate(node, self.target), self.pushed, node, cost, level))
+        heapq.heappush(self.queue, (cost + self.estimate(node), self.pushed, node, cost, level))
 
     def back(self, node: int) -> list[int]:
         line = [node]
@@ -140,16 +156,14 @@ def search(network: Network, start: int, end: int, track: bool = False):
             trace.append((own.side, node, seen))
         if node in opposite.cost and cost + opposite.cost[node] < best:
             best, meet = cost + opposite.cost[node], node
-        layout = network.sides[own.side]
-        for e in network.slice(own.side, node, level, own.target):
-            other = int(layout.other[e])
+        for other, step, below in network.edges(own.side, node, level, own.km_left(node)):
             if other in own.done:
                 continue
             seen.append(other)
-            total = cost + float(layout.cost[e])
+            total = cost + step
             if total < own.cost.get(other, math.inf):
                 own.cost[other], own.previous[other] = total, node
-                own.push(other, total, int(layout.level[e]))
+                own.push(other, total, below)
                 if other in opposite.cost and total + opposite.cost[other] < best:
                     best, meet = total + opposite.cost[other], other
     if meet is None:
@@ -160,7 +174,6 @@ def search(network: Network, start: int, end: int, track: bool = False):
 def search_one_sided(network: Network, start: int, end: int):
     """(path or None, cost): the same policy from the start only, until the end leaves the queue."""
     side = _Side(network, FORWARD, start, end)
-    layout = network.sides[FORWARD]
     while side.queue:
         _, _, node, cost, level = heapq.heappop(side.queue)
         if node == end:
@@ -168,11 +181,11 @@ def search_one_sided(network: Network, start: int, end: int):
         if cost > side.cost[node] or node in side.done:
             continue
         side.done.add(node)
-        for e in network.slice(FORWARD, node, level, end):
-            other, total = int(layout.other[e]), cost + float(layout.cost[e])
+        for other, step, below in network.edges(FORWARD, node, level, side.km_left(node)):
+            total = cost + step
             if other not in side.done and total < side.cost.get(other, math.inf):
                 side.cost[other], side.previous[other] = total, node
-                side.push(other, total, int(layout.level[e]))
+                side.push(other, total, below)
     return None, None
 
 
@@ -229,8 +242,8 @@ class MappedNetwork:
         return lambda: Network.open(SparkFiles.get(name))
 
 
-def routes_by_node(requests: DataFrame, network: Network | MappedNetwork, track: bool = False, config: RouteConfig = RouteConfig()) -> DataFrame:
-    """FOUND for requests(req_id, start_node, end_node); path, cost are null where no route is found, trace without track."""
+def routes_by_node(requests: DataFrame, network: Network | MappedNetwork, track: bool = False, config: RouteConfig = RouteConfig(), count: int | None = None) -> DataFrame:
+    """FOUND for requests(req_id, start_node, end_node); path, cost are null where no route is found, trace without track. count: about how many requests there are, if known."""
     if isinstance(network, MappedNetwork):
         opened = network.share(requests.sparkSession)
     else:
@@ -251,7 +264,11 @@ def routes_by_node(requests: DataFrame, network: Network | MappedNetwork, track:
                 rows.append((req, path, cost, steps))
             yield pd.DataFrame(rows, columns=["req_id", "path", "cost", "trace"], dtype=object)
 
-    dealt = requests.select("req_id", "start_node", "end_node").repartition(F.col("req_id"))
+    # A number of tasks of our own: rows are few, but each is a search, so they mustn't be coalesced.
+    spark = requests.sparkSession
+    count = requests.count() if count is None else count
+    tasks = max(spark.sparkContext.defaultParallelism, -(-count // config.requests_per_task))
+    dealt = requests.select("req_id", "start_node", "end_node").repartition(tasks, "req_id")
     return dealt.mapInPandas(run, FOUND)
 
 
@@ -290,7 +307,7 @@ def find_paths(requests: DataFrame, graph: Graph, track: bool = False, strict: b
         bad = resolved.where("status <> 'OK'").select("req_id", "status").limit(1).collect()
         if bad:
             raise EmptyGeometry(f"request {bad[0]['req_id']}: {bad[0]['status']}")
-    found = routes_by_node(resolved.where("status = 'OK'"), network, track, config)
+    found = routes_by_node(resolved.where("status = 'OK'"), network, track, config, requests.count())
     status = F.when((F.col("status") == "OK") & F.col("path").isNull(), "NO_ROUTE").otherwise(F.col("status"))
     return resolved.join(found, "req_id", "left").select("req_id", status.alias("status"), "path", "cost", "trace")
 
