@@ -25,9 +25,9 @@ from .suffix import equal_windows
 
 WIDTH = 50
 GRAM = 16
-GROUP_BYTES = 8 << 20  # text in a group of documents, on average
+GROUP_BYTES = 4 << 20  # text in a group of documents, on average
 BUCKET_BYTES = 8 << 20  # text whose anchors share a bucket, on average
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SMALL_ROWS = 500_000  # digests of copied texts that may be broadcast; more are shuffled
 NO_ID = (1 << 63) - 1
 
