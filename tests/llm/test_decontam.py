@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from waymill.llm import decontam
 
 DOCS, ITEMS = "doc_id long, text string, n_hit string, id int", "item_id long, text string, pos int"
@@ -62,7 +64,7 @@ def test_empty_tables(spark):
 
 def test_keep_clean(spark):
     passage = " ".join(f"p{i}" for i in range(30))
-    docs = spark.createDataFrame([(1, passage, "a", 1), (2, "clean words", "b", 2), (3, "filler " * 900 + passage, "c", 3), (None, passage, "d", 4), (5, None, "e", 5), (2, passage, "f", 6)], DOCS)
+    docs = spark.createDataFrame([(1, passage, "a", 1), (2, "clean words", "b", 2), (3, "filler " * 900 + passage, "c", 3), (None, passage, "d", 4), (5, None, "e", 5), (2, passage, "f", 6)], DOCS).withColumn("bad_id", F.lit(1)).withColumn("bad_th", F.lit(2))
     kept = decontam.keep_clean(docs, spark.createDataFrame([(1, passage, 2)], ITEMS))
     assert kept.columns == docs.columns and sorted(r["n_hit"] for r in kept.collect()) == ["b", "c", "e"]
 

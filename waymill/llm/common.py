@@ -57,14 +57,6 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def fresh(taken: list[str], wanted: str) -> str:
-    """wanted, with underscores in front until it clashes with none of taken (case-insensitively)."""
-    low = {c.lower() for c in taken}
-    while wanted.lower() in low:
-        wanted = "_" + wanted
-    return wanted
-
-
 def text_groups(batches, column: str = "text", limit: int = BATCH_BYTES):
     """(record batch, encoded texts) of consecutive rows that hold about limit bytes; null is empty.
 

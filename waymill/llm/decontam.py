@@ -157,4 +157,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged = keyed(docs).select(*DOC, n_words(F.col("text")).alias("n_words")).join(small(checkpointed(hit, narrow=True), SMALL_ROWS), DOC).where("20 * n_hit >= n_words")
     bad = small(checkpointed(judged.select(F.col("id").alias("bad_id"), F.col("th").alias("bad_th")).distinct(), narrow=True), SMALL_ROWS)
     text, doc_id = F.coalesce(docs["text"], F.lit("")), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
-    return docs.join(bad, (doc_id == F.col("bad_id")) & (F.xxhash64(text) == F.col("bad_th")), "left_anti")
+    return docs.join(bad, (doc_id == bad["bad_id"]) & (F.xxhash64(text) == bad["bad_th"]), "left_anti")
