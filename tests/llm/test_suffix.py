@@ -70,6 +70,15 @@ def test_documents(spark, monkeypatch, seed):
     assert sorted((tuple(r) for r in sufdedup.removed_spans(df).drop("spans").collect()), key=str) == plain(rows)
 
 
+def test_a_copy_takes_no_other_text_of_its_id_along(spark, monkeypatch):
+    monkeypatch.setattr(sufdedup.F, "pmod", lambda *_: sufdedup.F.lit(0))  # all documents in one group
+    r = random.Random(9)
+    texts = ["".join(r.choice("abcdefgh") for _ in range(120)) for _ in range(4)]
+    rows = [(1, texts[0]), (None, texts[0]), (None, texts[1]), (2, texts[0]), (2, texts[2]), (3, texts[3])]
+    df = spark.createDataFrame([(*r, "l", 5, 6) for r in rows], DOCS)
+    assert sorted((tuple(r) for r in sufdedup.removed_spans(df).drop("spans").collect()), key=str) == plain(rows)
+
+
 def test_texts_without_repeats(spark):
     shared = "this passage is shared by two documents and is longer than fifty bytes "
     rows = [(1, shared + "one"), (2, "two " + shared), (3, None), (4, "ééé" + shared)]

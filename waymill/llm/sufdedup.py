@@ -115,6 +115,18 @@ class _Group:
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.texts = [r[1] for r in rows]
 
+    def copied(self, copies: pa.Table, width: int) -> np.ndarray:
+        """Whether each slot of width bytes or more is one of copies(id, digest): the same id and the same text."""
+        out = np.zeros(len(self.ids), bool)
+        if not copies.num_rows:
+            return out
+        wanted = set(zip(copies.column("id").to_pylist(), copies.column("digest").to_pylist()))
+        maybe = np.isin(self.ids, np.array([i for i, _ in wanted if i is not None], np.int64))
+        for i in np.flatnonzero(maybe):
+            if len(self.texts[i]) >= width:
+                out[i] = (int(self.ids[i]), hashlib.sha256(self.texts[i]).digest()) in wanted
+        return out
+
 
 def _pack(a: np.ndarray, kind=np.uint32) -> bytes:
     """Numbers as compressed bytes: by their differences, which are small where they are in order."""
@@ -131,11 +143,6 @@ def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _kept_copies(group: _Group, copies: pa.Table) -> np.ndarray:
-    """Whether each slot is no copy of a smaller document."""
-    return ~np.isin(group.ids, np.array(copies.column("id").to_pylist(), np.int64)) if copies.num_rows else np.ones(len(group.ids), bool)
-
-
 def _bucket_spans(table: pa.Table, width: int) -> pa.Table:
     """The spans to remove that one bucket's segments tell, by group of documents."""
     seen: dict[bytes, int] = {}
@@ -197,16 +204,16 @@ class SubstringDedup:
         group = F.pmod(F.xxhash64(doc_id, text), F.lit(self.groups)).cast("int")
         # One exchange of the texts, shared by every stage.
         self.base = docs.select(group.alias("group"), doc_id.alias("c_id"), text.alias("c_text"), *[docs[c].alias(f"d{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")])
-        key = docs.select(group.alias("group"), F.coalesce(doc_id, F.lit(NO_ID)).alias("id"), F.sha2(text, 256).alias("digest")).where("digest is not null")
+        key = docs.select(group.alias("group"), F.coalesce(doc_id, F.lit(NO_ID)).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest")).where("digest is not null")
         least = key.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-        self.copies = key.join(small(checkpointed(least, narrow=True), SMALL_ROWS), "digest").where("id > least").select("group", "id").distinct()
+        self.copies = key.join(small(checkpointed(least, narrow=True), SMALL_ROWS), "digest").where("id > least").select("group", "id", "digest").distinct()
 
     def _sent_anchors(self) -> DataFrame:
         width, buckets = self.width, self.buckets
 
         def run(docs: pa.Table, copies: pa.Table) -> pa.Table:
             group = _Group(docs)
-            kept = np.flatnonzero(_kept_copies(group, copies))
+            kept = np.flatnonzero(~group.copied(copies, width))
             slot, start, _, h = anchors([group.texts[i] for i in kept], width)
             slot = kept[slot] if len(slot) else slot
             bucket = _bucket_of(h, buckets)
@@ -304,12 +311,13 @@ class SubstringDedup:
     def cut(self, emit, schema: str) -> DataFrame:
         """emit(table of documents, [(bytes, [(start, stop), ...]) of each row]) over the groups of documents."""
         width = self.width
-        notes = self.spans().withColumn("id", F.lit(None).cast("long")).unionByName(self.copies.selectExpr("group", "cast(null as binary) slots", "cast(null as binary) starts", "cast(null as binary) stops", "id"))
+        notes = self.spans().selectExpr("*", "cast(null as long) id", "cast(null as binary) digest").unionByName(
+            self.copies.selectExpr("group", "cast(null as binary) slots", "cast(null as binary) starts", "cast(null as binary) stops", "id", "digest")
+        )
 
         def run(docs: pa.Table, notes: pa.Table) -> pa.Table:
             group = _Group(docs)
             found: dict[int, list] = {}
-            copies = {i for i in notes.column("id").to_pylist() if i is not None} if notes.num_rows else set()
             spans = [r for r in _rows(notes) if r["slots"] is not None]
             if spans:
                 slot, start, stop = (np.concatenate([_unpack(r[c]) for r in spans]) for c in ("slots", "starts", "stops"))
@@ -320,9 +328,8 @@ class SubstringDedup:
                     reach = np.maximum.accumulate(stop[s:e])
                     new = np.concatenate([[True], start[s + 1 : e] > reach[:-1]])
                     found[int(slot[s])] = list(zip(start[s:e][new].tolist(), reach[np.append(np.flatnonzero(new)[1:] - 1, e - s - 1)].tolist()))
-            for i, doc_id in enumerate(group.ids.tolist()):
-                if doc_id in copies and len(group.texts[i]) >= width:
-                    found[i] = [(0, len(group.texts[i]))]
+            for i in np.flatnonzero(group.copied(notes, width)).tolist():
+                found[i] = [(0, len(group.texts[i]))]
             return emit(docs, [(group.texts[i], found.get(i, [])) for i in group.slots])
 
         return self._cogroup(notes, run, schema)
