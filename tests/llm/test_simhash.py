@@ -97,6 +97,14 @@ def test_documents(spark):
     assert simhash.keep_first(df).columns == df.columns
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    r = random.Random(3)
+    a, b, c, d, e = (" ".join(f"w{r.randrange(10**6)}" for _ in range(80)) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (None, c), (7, d), (7, e), (None, e), (7, d), (8, c)]
+    kept = sorted(((x["doc_id"], x["text"]) for x in simhash.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert kept == sorted([(None, a), (None, b), (7, d), (7, e), (8, c)], key=str)
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 

@@ -19,15 +19,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, star_forest, text_groups
+from .common import checkpointed, small, star_forest, text_groups
 from .components import connected_components
 
 BITS, HALF, RADIUS = 64, 32, 3
 #: Variants that one task spells out at a time; larger buckets are cut by further bits.
 VARIANTS_AT_ONCE = 1 << 21
+SMALL_ROWS = 500_000  # keys of dropped rows that may be broadcast; more are shuffled
 
 _NEAR = [0] + [1 << i for i in range(BITS)]
 _FAR = [(1 << i) | (1 << j) for lo in (0, HALF) for i, j in combinations(range(lo, lo + HALF), 2)]
@@ -74,14 +75,15 @@ def majority(hashes: list[np.ndarray]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) for every row of docs, fp the fingerprint's bits as a signed long."""
+    """(doc_id, fp) for every row of docs, fp the fingerprint's bits as a signed long; its digest too, if there."""
+    carried = [c for c in docs.columns if c == "digest"]
 
     def run(batches):
         for batch, texts in text_groups(batches):
             fps = majority([shingle_hashes(t, width, seed) for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64)), *map(batch.column, carried)], ["doc_id", "fp", *carried])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"{c} binary" for c in carried)]))
 
 
 def _masks(even: bool) -> tuple[np.ndarray, int]:
@@ -159,6 +161,13 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(meet, "a long, b long")
 
 
+def _rooted(prints: DataFrame) -> DataFrame:
+    """(fp, least, root) of every fingerprint in prints(doc_id, fp): its smallest doc_id and its component."""
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), narrow=True)
+    roots = connected_components(fingerprint_links(distinct.select("fp")))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs(doc_id, text, ...).
 
@@ -168,22 +177,47 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
     come back repeated; a null doc_id takes the smallest id of its component, null if there
     is none. Other columns are not read. No rows give no rows.
     """
-    prints = checkpointed(fingerprints(docs, width, seed), narrow=True)
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), narrow=True)
-    roots = connected_components(fingerprint_links(distinct.select("fp")))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    prints = checkpointed(fingerprints(docs.select("doc_id", "text"), width, seed), narrow=True)
+    rooted = _rooted(prints)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def text_digest(docs: DataFrame) -> Column:
+    """SHA-256 of a row's text; a null text counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs with one row of each group in rows(doc_id, digest, group), which names every row of docs.
+
+    That of the smallest doc_id stays, null being larger than all others, and of these the one
+    with the smallest digest. Rows alike in doc_id and text are one row. The dropped rows' keys
+    are broadcast while they are few; docs itself is shuffled only where they aren't.
+    """
+    keys = rows.groupBy("group", "doc_id", "digest").count()
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    least = rows.groupBy("group").agg(F.min(first).alias("first")).select(F.col("group").alias("of"), "first")
+    ranked = checkpointed(
+        keys.join(least, F.col("group") == F.col("of")).select("doc_id", "digest", "count", (first == F.col("first")).alias("stays")).where("not stays or count > 1"),
+        narrow=True,
+    )
+    gone = small(ranked.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")), SMALL_ROWS)
+    rest = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (text_digest(docs) == gone["gone_digest"]), "left_anti")
+    if ranked.where("stays").isEmpty():
+        return rest
+    name = "digest"
+    while name in docs.columns:
+        name += "_"
+    return rest.withColumn(name, text_digest(rest)).dropDuplicates(["doc_id", name]).drop(name)
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without all but the smallest doc_id of each near-duplicate group.
+    """docs with one row of each near-duplicate group: the one with the smallest doc_id.
 
-    Rows that share the doc_id that stays are one document: one of them is kept. Rows without
-    a doc_id stay, one of them, where no row of their group has one.
+    Rows without a doc_id stay, one of each group, where no row of their group has one. Rows of
+    other groups don't matter, whatever their doc_ids.
     """
-    found = near_duplicates(docs)
-    kept = checkpointed(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).count(), narrow=True)
-    rest = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return rest if kept.where("count > 1").isEmpty() else rest.dropDuplicates(["doc_id"])
+    prints = checkpointed(fingerprints(docs.select("doc_id", "text", text_digest(docs).alias("digest"))), narrow=True)
+    return one_of_each(docs, prints.join(_rooted(prints).select("fp", F.col("root").alias("group")), "fp"))
