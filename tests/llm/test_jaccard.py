@@ -1,0 +1,65 @@
+"""Near-duplicates of five-word shingles against all pairs."""
+
+import random
+
+import pytest
+
+from waymill.llm import jaccard
+
+SCHEMA = "doc_id long, text string"
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def plain(rows):
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    best = {}
+    for r, (i, t) in zip(root, rows):
+        best[r] = min(best.get(r, (True, 0, "")), (i is None, i or 0, t or ""))
+    return sorted((d, t) for _, d, t in best.values())
+
+
+@pytest.mark.parametrize("slots", [16, 1 << 16])
+def test_keeps_one_of_all_pairs_of_similarity_four_fifths(spark, monkeypatch, slots):
+    monkeypatch.setattr(jaccard, "SLOTS", slots)
+    r = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for k in range(40):
+        text = [f"w{r.randrange(3000)}" for _ in range(r.choice([6, 40, 100]))] + (passage if k % 2 else [])
+        rows.append((1000 - k, " ".join(text)))
+        for c in range(r.randrange(4)):
+            for _ in range(r.randrange(1, 5)):
+                text[r.randrange(len(text))] = f"c{r.randrange(10**6)}"
+            rows.append((2000 + 10 * k + c, " ".join(text)))
+    rows += [(1, None), (2, ""), (3, "tiny"), (4, "TINY "), (5, "one two three four five six")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = jaccard.keep_first(df)
+    want = plain(rows)
+    assert got.columns == df.columns and sorted((x["doc_id"], x["text"] or "") for x in got.collect()) == want
+    assert 50 < len(want) < len(rows) - 20
+
+
+def test_the_pipelines_stage_drops_near_copies_beyond_three_bits(spark):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    rows = []
+    for i in range(30):
+        text = [f"w{r.randrange(10**6)}" for _ in range(120)]
+        rows.append((i, " ".join(text)))
+        text[60] = "changed"
+        rows.append((100 + i, " ".join(text)))
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == list(range(30))
+
+
+def test_empty_table(spark):
+    assert jaccard.keep_first(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -1,0 +1,221 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles, found by prefix filtering.
+
+A text is the set of its shingles' hashes; texts with the same words are one node. Two sets of
+similarity t share a hash among the first n - ceil(t * n) + 1 of each one's n in any common order,
+so only these prefixes are sent, dealt to buckets by hash. Rare hashes come first in it: a table
+of fixed size counts all hashes, several to a slot; the order decides about speed, never about the result.
+Every pair that meets is verified against both whole sets. Pairs are first tried as stars, from
+the smallest node of all that share a hash, and then among what these links leave in different
+components, so a group of n near copies costs about n pairs.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed, small, text_groups, written
+from .components import connected_components
+from .simhash import SMALL_ROWS, one_of_each, shingle_hashes, text_digest
+
+WIDTH, OVER, UNDER = 5, 4, 5  # five words; a similarity of 4/5, as a fraction
+BUCKET_ROWS = 1 << 19  # prefix hashes that share a bucket, on average
+SLOTS, SLICES = 1 << 23, 16  # counters that order the hashes, and how many parts they are added up in
+
+PAIRS = "a long, b long"
+MET = "a long, b long, hash long, node long, size int, place int"
+
+
+def _node(data: bytes) -> int:
+    """64 bits of a digest of the words, case of ASCII letters and white space aside."""
+    return int.from_bytes(hashlib.blake2b(b" ".join(data.lower().split()), digest_size=8).digest(), "little", signed=True)
+
+
+def nodes(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, node) of every row of docs(doc_id, text, ...)."""
+
+    def run(batches):
+        for batch, texts in text_groups(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array([_node(t) for t in texts], pa.int64())], ["doc_id", "digest", "node"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_digest(docs).alias("digest")).mapInArrow(run, "doc_id long, digest binary, node long")
+
+
+def _prefix(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first hashes of a set, which two sets similar enough share one of, and the set's size."""
+    own = np.unique(hashes)
+    n = len(own)
+    if not n:
+        return own, n
+    order = np.argsort(counts[own % np.uint64(len(counts))], kind="stable")
+    return own[order[: n - -(-OVER * n // UNDER) + 1]], n
+
+
+def _prefixes(texts: DataFrame, width: int, counts: Broadcast, buckets: int) -> DataFrame:
+    """Packed prefixes of texts by bucket: hashes, nodes, sizes and places as arrays of bytes."""
+
+    def run(batches):
+        for _, group in text_groups(batches):
+            group = list({_node(t): t for t in group}.values())
+            found = [_prefix(shingle_hashes(t, width), counts.value) for t in group]
+            lengths = np.array([len(p) for p, _ in found], np.int64)
+            if not lengths.sum():
+                continue
+            h = np.concatenate([p for p, _ in found])
+            owner = np.repeat(np.arange(len(found)), lengths)
+            place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            node, size = np.array([_node(t) for t in group], np.int64), np.array([n for _, n in found], np.int32)
+            bucket = (h % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0]))
+            rows = {k: [] for k in ("bucket", "hashes", "owner", "place", "nodes", "sizes")}
+            for own in np.split(order, cut[1:]):
+                here, who = np.unique(owner[own], return_inverse=True)
+                rows["bucket"].append(int(bucket[own[0]]))
+                rows["hashes"].append(h[own].tobytes())
+                rows["owner"].append(who.astype(np.int32).tobytes())
+                rows["place"].append(place[own].astype(np.int32).tobytes())
+                rows["nodes"].append(node[here].tobytes())
+                rows["sizes"].append(size[here].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in rows.items()], list(rows))
+
+    return texts.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, hashes binary, owner binary, place binary, nodes binary, sizes binary")
+
+
+def _counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How many sets have a hash of each slot, up to 255 from one task and 65,535 in all."""
+    slots, part = SLOTS, SLOTS // SLICES
+
+    def run(batches):
+        table = np.zeros(slots, np.uint32)
+        for _, group in text_groups(batches):
+            for t in group:
+                np.add.at(table, np.unique(shingle_hashes(t, width)) % np.uint64(slots), 1)
+        packed = np.minimum(table, 255).astype(np.uint8)
+        if packed.any():
+            data = [zstandard.compress(packed[i * part : (i + 1) * part].tobytes(), 1) for i in range(SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(data, pa.binary())], ["slice", "data"])
+
+    def add(parts: pa.Table) -> pa.Table:
+        total = np.zeros(part, np.uint32)
+        for data in parts.column("data"):
+            total += np.frombuffer(zstandard.decompress(data.as_py()), np.uint8)
+        return pa.table([parts.column("slice")[:1], pa.array([np.minimum(total, 65_535).astype(np.uint16).tobytes()], pa.binary())], names=["slice", "data"])
+
+    kind = "slice int, data binary"
+    out = np.zeros(slots, np.uint16)
+    for row in texts.select(F.col("text").cast("string")).mapInArrow(run, kind).groupBy("slice").applyInArrow(add, kind).collect():
+        out[row["slice"] * part : (row["slice"] + 1) * part] = np.frombuffer(row["data"], np.uint16)
+    return out
+
+
+def _can_reach(size_a, size_b, place_a, place_b) -> np.ndarray:
+    """Whether two sets that share the hash at these places may be similar enough."""
+    common = np.minimum(place_a, place_b) + 1 + np.minimum(size_a - place_a, size_b - place_b) - 1
+    return (OVER + UNDER) * common >= OVER * (size_a + size_b)
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """A bucket's star pairs (a, b), and the members of its groups of three nodes or more."""
+    h, node, size, place = [], [], [], []
+    for row in table.to_pylist():
+        who = np.frombuffer(row["owner"], np.int32)
+        h.append(np.frombuffer(row["hashes"], np.uint64))
+        node.append(np.frombuffer(row["nodes"], np.int64)[who])
+        size.append(np.frombuffer(row["sizes"], np.int32)[who])
+        place.append(np.frombuffer(row["place"], np.int32))
+    h, node, size, place = (np.concatenate(x) for x in (h, node, size, place))
+    order = np.lexsort((node, h))
+    order = order[np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(node[order]) != 0)])]
+    h, node, size, place = h[order], node[order], size[order], place[order]
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    count = np.diff(np.append(start, len(h)))
+    first, many = np.repeat(start, count), np.repeat(count, count) > 2
+    i = np.flatnonzero(first != np.arange(len(h)))
+    i = i[_can_reach(size[first[i]].astype(np.int64), size[i].astype(np.int64), place[first[i]], place[i])]
+    pairs = np.unique(np.stack([node[first[i]], node[i]], 1), axis=0)
+    none = pa.nulls(len(pairs))
+    stars = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *(none.cast(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+    none = pa.nulls(int(many.sum()), pa.int64())
+    members = [none, none, pa.array(h[many].view(np.int64)), pa.array(node[many]), pa.array(size[many]), pa.array(place[many])]
+    names = [c.split()[0] for c in MET.split(", ")]
+    return pa.concat_tables([pa.table(stars, names=names), pa.table(members, names=names)])
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """The pairs of a bucket's members that share a hash and are in different components so far."""
+    h, node, size, place, root = (table.column(c).to_numpy() for c in ("hash", "node", "size", "place", "root"))
+    order = np.lexsort((size, h))
+    h, node, size, place, root = h[order], node[order], size[order].astype(np.int64), place[order], root[order]
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    out = [np.empty((0, 2), np.int64)]
+    for s, e in zip(start.tolist(), np.append(start[1:], len(h)).tolist()):
+        if (root[s:e] == root[s]).all():
+            continue
+        stop = s + np.searchsorted(OVER * size[s:e], UNDER * size[s:e], side="right")
+        for i, z in zip(range(s, e), stop.tolist()):
+            j = np.arange(i + 1, z)
+            j = j[(root[j] != root[i]) & _can_reach(size[i], size[j], place[i], place[j])]
+            if len(j):
+                out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1))
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, digests: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough, by one text of each in texts."""
+
+    def number(batches):
+        for batch, group in text_groups(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in group], pa.int64()), batch.column("text")], ["node", "text"])
+
+    def run(batches):
+        at, x = None, None
+        for batch in batches:
+            good = []
+            for a, first, second in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y")):
+                if a != at:
+                    at, x = a, np.unique(shingle_hashes(first.as_buffer().to_pybytes(), width))
+                both = np.concatenate([x, np.unique(shingle_hashes(second.as_buffer().to_pybytes(), width))])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                good.append((OVER + UNDER) * common >= OVER * len(both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = small(checkpointed(digests.join(ends, "node", "left_semi").select(F.col("digest").alias("of")), narrow=True), SMALL_ROWS)
+    held = texts.join(wanted, text_digest(texts) == F.col("of"), "left_semi").select(F.col("text").cast("string").alias("text"))
+    held = written(held.mapInArrow(number, "node long, text string").dropDuplicates(["node"]))
+    found = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    return checkpointed(found.select("a", "b", "x", "y").mapInArrow(run, PAIRS), narrow=True)
+
+
+def keep_first(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs with one row of each group of near duplicates: simhash.one_of_each() says which.
+
+    Near duplicates are texts whose sets of width-word shingles have a Jaccard similarity of
+    OVER / UNDER or more, and a group is what such pairs link. Shorter texts are one shingle;
+    texts without a word are one group. Every such pair is found, and no other.
+    """
+    rows = checkpointed(nodes(docs), narrow=True)
+    texts = one_of_each(docs, rows.withColumnRenamed("node", "group"), repeats=True).select("text")
+    least = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first"))
+    digests = checkpointed(least.select("node", F.col("first.digest").alias("digest")), narrow=True)
+    size = texts.select(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = max(8, -(-size // (30 * BUCKET_ROWS)))  # a word has about six bytes, a prefix a fifth of the words
+    counts = docs.sparkSession.sparkContext.broadcast(_counts(texts, width))
+    met = checkpointed(_prefixes(texts, width, counts, buckets).groupBy("bucket").applyInArrow(_meet, MET), narrow=True)
+    stars = checkpointed(met.where("a is not null").select("a", "b").distinct(), narrow=True)
+    links = _verified(stars, texts, digests, width)
+    roots = connected_components(links).withColumnRenamed("node", "of")
+    rooted = met.where("hash is not null").join(roots, F.col("node") == F.col("of"), "left").select("hash", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+    across = checkpointed(rooted.groupBy(F.pmod("hash", F.lit(buckets)).alias("bucket")).applyInArrow(_across, PAIRS).distinct(), narrow=True)
+    links = links.unionByName(_verified(across, texts, digests, width))
+    roots = connected_components(links).withColumnRenamed("node", "of")
+    return one_of_each(docs, rows.join(roots, F.col("node") == F.col("of"), "left").select("doc_id", "digest", F.coalesce("root", "node").alias("group")))

@@ -189,12 +189,13 @@ def text_digest(docs: DataFrame) -> Column:
     return F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
 
 
-def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, rows: DataFrame, repeats: bool = False) -> DataFrame:
     """docs with one row of each group in rows(doc_id, digest, group), which names every row of docs.
 
     That of the smallest doc_id stays, null being larger than all others, and of these the one
-    with the smallest digest. Rows alike in doc_id and text are one row. The dropped rows' keys
-    are broadcast while they are few; docs itself is shuffled only where they aren't.
+    with the smallest digest. Rows alike in doc_id and text are one row, or all stay with
+    repeats. The dropped rows' keys are broadcast while they are few; docs itself is shuffled only
+    where they aren't, or to find rows alike.
     """
     keys = rows.groupBy("group", "doc_id", "digest").count()
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
@@ -205,7 +206,7 @@ def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     )
     gone = small(ranked.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")), SMALL_ROWS)
     rest = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (text_digest(docs) == gone["gone_digest"]), "left_anti")
-    if ranked.where("stays").isEmpty():
+    if repeats or ranked.where("stays").isEmpty():
         return rest
     name = "digest"
     while name in docs.columns:
