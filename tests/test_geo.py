@@ -132,3 +132,35 @@ def test_shapefile(spark, tmp_path):
     ]
     with pytest.raises(Exception, match="roads2"):
         spark.read.format("shapefile").load(str(tmp_path / "roads2.shp")).collect()
+
+
+def test_korean_tm():
+    import math
+
+    x0, y0 = geo.korean_tm(38.0, 127.0, math)
+    # A minute of arc further is as far on the map as on the ground.
+    for lat, lon, km in ((38.0 + 1 / 60, 127.0, 111.0 / 60), (38.0, 127.0 + 1 / 60, 87.8 / 60)):
+        x, y = geo.korean_tm(lat, lon, math)
+        assert math.hypot(x - x0, y - y0) == pytest.approx(1000 * km, rel=2e-3)
+    # The origin lies about ten seconds north of 38 degrees and three seconds east of 127.
+    assert x0 == pytest.approx(200000 - (0.0028902777778 - 7.5 / 3600) * 87800, abs=60) and y0 == pytest.approx(500000 - 10.1 / 3600 * 111000, abs=60)
+    # Seoul's city hall.
+    x, y = geo.korean_tm(37.566535, 126.977969, math)
+    assert (x, y) == pytest.approx((197_980, 451_590), abs=120)
+
+
+def test_korean_tm_of_columns(spark):
+    import math
+
+    points = [(33.0, 124.0), (37.5, 127.0), (38.9, 131.9)]
+    df = spark.createDataFrame(points, "lat double, lon double")
+    x, y = geo.korean_tm(F.col("lat"), F.col("lon"))
+    got = [tuple(r) for r in df.select(x, y).collect()]
+    assert got == [pytest.approx(geo.korean_tm(*p, math), abs=1e-6) for p in points]
+
+
+def test_an_area_is_whole_or_none():
+    from waymill.operators.stores import projected_corners
+
+    corners = projected_corners(37.0, 127.0, 38.0, 128.0)
+    assert len(corners) == 4 and corners[0][0] != corners[3][0] and corners[0][1] < corners[3][1]

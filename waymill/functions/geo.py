@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -160,3 +162,42 @@ def edge_offset(edge_id: Column) -> Column:
 
 def index_offset(node_id: Column) -> Column:
     return 5 + 46 * node_id.cast("long")
+
+
+# EPSG:5174, a transverse Mercator on Bessel's ellipsoid, and its shift to WGS 84
+# (metres, arc seconds, parts in a million; position vector convention).
+TM_LAT, TM_LON, TM_X, TM_Y = 38.0, 127.0028902777778, 200000.0, 500000.0
+BESSEL_A, BESSEL_F = 6377397.155, 1 / 299.1528128
+WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
+TM_SHIFT, TM_ROTATION, TM_SCALE = (-115.80, 474.99, 674.11), (1.16, -2.31, -1.63), 6.43
+
+
+def korean_tm(lat, lon, m=F):
+    """(x, y) in EPSG:5174 of WGS 84 degrees on the ellipsoid.
+
+    m has the functions: pyspark's for columns, the module math for numbers.
+    """
+    phi, lam = m.radians(lat), m.radians(lon)
+    e2 = WGS84_F * (2 - WGS84_F)
+    n = WGS84_A / m.sqrt(1 - e2 * m.sin(phi) * m.sin(phi))
+    tx, ty, tz = TM_SHIFT
+    rx, ry, rz = (math.radians(r / 3600) for r in TM_ROTATION)
+    k = 1 + TM_SCALE * 1e-6
+    x, y, z = (n * m.cos(phi) * m.cos(lam) - tx) / k, (n * m.cos(phi) * m.sin(lam) - ty) / k, (n * (1 - e2) * m.sin(phi) - tz) / k
+    x, y, z = x + rz * y - ry * z, y - rz * x + rx * z, z + ry * x - rx * y
+    # To degrees on Bessel's ellipsoid.
+    a, b, e2 = BESSEL_A, BESSEL_A * (1 - BESSEL_F), BESSEL_F * (2 - BESSEL_F)
+    second = e2 / (1 - e2)
+    p = m.sqrt(x * x + y * y)
+    theta = m.atan2(z * a, p * b)
+    s, c = m.sin(theta), m.cos(theta)
+    phi, lam = m.atan2(z + second * b * s * s * s, p - e2 * a * c * c * c), m.atan2(y, x)
+    # The projection, by its series in the distance from the central meridian.
+    s, c, t = m.sin(phi), m.cos(phi), m.tan(phi)
+    n, t2, c2, d = a / m.sqrt(1 - e2 * s * s), t * t, second * c * c, (lam - math.radians(TM_LON)) * c
+    d2 = d * d
+    terms = (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256, 3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024, 15 * e2**2 / 256 + 45 * e2**3 / 1024, 35 * e2**3 / 3072)
+    arc = lambda f, o: a * (terms[0] * f - terms[1] * o.sin(2 * f) + terms[2] * o.sin(4 * f) - terms[3] * o.sin(6 * f))
+    east = n * d * (1 + d2 * ((1 - t2 + c2) / 6 + d2 * (5 - 18 * t2 + t2 * t2 + 72 * c2 - 58 * second) / 120))
+    north = n * t * d2 * (0.5 + d2 * ((5 - t2 + 9 * c2 + 4 * c2 * c2) / 24 + d2 * (61 - 58 * t2 + t2 * t2 + 600 * c2 - 330 * second) / 720))
+    return TM_X + east, TM_Y + arc(phi, m) - arc(math.radians(TM_LAT), math) + north

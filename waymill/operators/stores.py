@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ItemEmpty
+from ..functions.geo import korean_tm
 
 OPEN = "영업"  # how the state of an open store starts
 LIST_COLUMNS = ["id", "trd_state_nm", "bplc_nm", "uptae_gbn_nm", "rdn_whl_addr", "tel_no", "x", "y", "homepage", "building_id", "center_x", "center_y"]
@@ -79,6 +80,12 @@ def inside_quad(x: Column, y: Column, corners: list[tuple[float, float]]) -> Col
     return test
 
 
+def projected_corners(min_lat: float, min_lon: float, max_lat: float, max_lon: float) -> list[tuple[float, float]]:
+    """The corners of an area in degrees, in the stores' CRS: reprojected, it is a quadrilateral."""
+    ring = [(min_lat, min_lon), (min_lat, max_lon), (max_lat, max_lon), (max_lat, min_lon)]
+    return [korean_tm(lat, lon, math) for lat, lon in ring]
+
+
 class Stores:
     """Queries over food_store and building_info, joined on building_id = ogc_fid."""
 
@@ -112,9 +119,15 @@ class Stores:
         """A page of open stores by id."""
         return self._page(self._joined(self._open()).select(self.food_store.columns), page)
 
-    def matching(self, keyword: str | None = None, category: str | None = None, corners: list[tuple[float, float]] | None = None) -> DataFrame:
-        """Open stores that meet the criteria given; blank ones don't filter. corners: of the area, in the stores' CRS."""
+    def matching(self, keyword: str | None = None, category: str | None = None, corners: list[tuple[float, float]] | None = None, bbox: tuple | None = None) -> DataFrame:
+        """Open stores that meet the criteria given; blank ones don't filter.
+
+        corners: of the area, in the stores' CRS. bbox: (min_lat, min_lon, max_lat, max_lon) in WGS 84
+        degrees, whose four corners are reprojected; it doesn't filter unless it is whole.
+        """
         rows = self._open()
+        if bbox and all(v is not None for v in bbox):
+            rows = rows.where(inside_quad(F.col("x"), F.col("y"), projected_corners(*bbox)))
         if keyword:
             rows = rows.where(F.col("bplc_nm").like(f"%{like_pattern(keyword)}%"))
         if category:
