@@ -89,13 +89,16 @@ class GraphStore:
         return found[0]
 
 
-def write_index_csv(index: DataFrame, path: str) -> None:
-    """One CSV part with the header nodeId,x,y,offset; an empty index gives the header alone."""
-    decimals = lambda c: F.format_string("%.7f", F.col(c))
-    rows = index.orderBy("node_id").select(F.col("node_id").alias("nodeId"), decimals("lon").alias("x"), decimals("lat").alias("y"), "offset")
-    rows.coalesce(1).write.mode("overwrite").csv(path, header=True)
+ONE_FILE_ROWS = 10_000_000
+
 
+def write_index_csv(index: DataFrame, path: str, one_file_rows: int = ONE_FILE_ROWS) -> None:
+    """CSV with the header nodeId,x,y,offset, in the order of ids; an empty index gives the header alone.
 
-def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
-    """A table of an external database, by any JDBC driver on the class path."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    One part up to one_file_rows rows; a larger index is written in parts by id, each with the
+    header, that follow one another by name.
+    """
+    decimals = lambda c: F.format_string("%.7f", F.col(c))
+    rows = index.orderBy("node_id").select(F.col("node_id").alias("nodeId"), decimals("lon").alias("x"), decimals("lat").alias("y"), "offset")
+    rows = rows.coalesce(1) if index.count() <= one_file_rows else rows
+    rows.write.mode("overwrite").csv(path, header=True)
