@@ -96,15 +96,44 @@ def test_least_costs_match_relaxation():
 def test_too_large_a_graph_is_refused(spark):
     from tests.test_graph import sink_graph
 
-    with pytest.raises(GraphTooLarge):
-        search.network_of(sink_graph(spark), RouteConfig(broadcast_edges=1))
+    for config in (RouteConfig(broadcast_edges=1), RouteConfig(broadcast_bytes=100)):
+        with pytest.raises(GraphTooLarge):
+            search.network_of(sink_graph(spark), config)
+
+
+def test_packed_ranges_make_the_same_network(spark):
+    from tests.test_graph import sink_graph
+
+    graph = sink_graph(spark)
+    for mode in CacheMode:
+        want = search.Network.of(graph.nodes.toPandas(), graph.edges.toPandas(), mode)
+        for span in (1, 3, 1 << 16):
+            got = search.network_of(graph, RouteConfig(nodes_per_range=span, cache_mode=mode))
+            assert (got.lon == want.lon).all() and (got.lat == want.lat).all()
+            for a, b in zip(got.sides, want.sides):
+                assert all((getattr(a, part) == getattr(b, part)).all() for part in search.LAYOUT)
+
+
+def test_pair_costs_of_a_mapped_network(spark, tmp_path):
+    from tests.test_graph import sink_graph
+
+    graph = sink_graph(spark)
+    net = search.network_of(graph)
+    n = len(net.lon)
+    pairs = spark.createDataFrame([(i * n + j, i, j) for i in range(n) for j in range(n)], "req_id long, start_node long, end_node long")
+    want = {i * n + j: exact.least_costs(net, i).get(j) for i in range(n) for j in range(n)}
+    for network_ in (net, search.map_network(graph, str(tmp_path))):
+        got = {r["req_id"]: r["cost"] for r in exact.exact_pair_costs(pairs, network_).collect()}
+        assert got == pytest.approx(want)
+        every = exact.exact_costs(pairs.select("start_node").distinct().withColumnRenamed("start_node", "source"), network_).collect()
+        assert {(r["source"], r["node_id"]) for r in every} == {(k // n, k % n) for k, c in want.items() if c is not None}
 
 
 def test_a_large_graph_is_mapped_from_files(spark, tmp_path):
     from tests.test_graph import request, sink_graph
 
     graph = sink_graph(spark)
-    plain, mapped = search.network_of(graph), search.map_network(graph, str(tmp_path), chunk=2)
+    plain, mapped = search.network_of(graph), search.map_network(graph, str(tmp_path), RouteConfig(nodes_per_range=2))
     opened = search.Network.open(mapped.folder)
     for a, b in zip(plain.sides, opened.sides):
         assert all((getattr(a, part) == getattr(b, part)).all() for part in search.LAYOUT)
@@ -120,6 +149,7 @@ def test_stream_of_requests(spark, tmp_path):
 
     request(spark, (37, 127.02, 37, 127.03), (37, 127.0, 37, 127.03)).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("req_id long, start_lat double, start_lon double, end_lat double, end_lon double").parquet(str(tmp_path / "in"))
-    answer_stream(stream, sink_graph(spark), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
-    got = {r["req_id"]: r["status"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {0: "OK", 1: "NO_ROUTE"}
+    for name, config in (("out", RouteConfig()), ("mapped", RouteConfig(broadcast_edges=1))):
+        answer_stream(stream, sink_graph(spark), str(tmp_path / name), str(tmp_path / f"mark_{name}"), config).awaitTermination()
+        got = {r["req_id"]: r["status"] for r in spark.read.parquet(str(tmp_path / name)).collect()}
+        assert got == {0: "OK", 1: "NO_ROUTE"}

@@ -25,10 +25,13 @@ class CacheMode(enum.Enum):
 
 @dataclass(frozen=True)
 class RouteConfig:
-    """Search settings: snapping distance, candidates, cache mode, and the most edges to broadcast."""
+    """Search settings: snapping distance, candidates, cache mode, the most edges and bytes to broadcast,
+    requests that a task answers, and nodes whose edges are packed together."""
 
     snap_metres: float = 100.0
     snap_candidates: int = 5
     cache_mode: CacheMode = CacheMode.INDEX_ONLY
     broadcast_edges: int = 50_000_000
+    broadcast_bytes: int = 1 << 30
     requests_per_task: int = 64
+    nodes_per_range: int = 1 << 16

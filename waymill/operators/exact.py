@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import FORWARD, Network
+from .search import FORWARD, MappedNetwork, Network, opener
 
 
 def bounded_costs(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
@@ -22,7 +22,8 @@ def bounded_costs(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     return best.groupBy("source", "node_id").agg(F.min("cost").alias("cost"))
 
 
-def least_costs(network: Network, source: int) -> dict[int, float]:
+def least_costs(network: Network, source: int, target: int | None = None) -> dict[int, float]:
+    """Least costs from source to all that it reaches; with a target, until that is settled."""
     layout, cost, done = network.sides[FORWARD], {source: 0.0}, set()
     queue = [(0.0, source)]
     while queue:
@@ -30,6 +31,8 @@ def least_costs(network: Network, source: int) -> dict[int, float]:
         if node in done:
             continue
         done.add(node)
+        if node == target:
+            break
         for e in range(layout.at[3 * node], layout.at[3 * node + 3]):
             other, total = int(layout.other[e]), c + float(layout.cost[e])
             if total < cost.get(other, float("inf")):
@@ -38,14 +41,31 @@ def least_costs(network: Network, source: int) -> dict[int, float]:
     return cost
 
 
-def exact_costs(sources: DataFrame, network: Network) -> DataFrame:
+def exact_costs(sources: DataFrame, network: Network | MappedNetwork) -> DataFrame:
     """(source, node_id, cost): least costs to every node that sources(source) reach, a task's batch at a time."""
-    shared = sources.sparkSession.sparkContext.broadcast(network)
+    opened = opener(network, sources.sparkSession)
 
     def run(batches):
+        network = opened()
         for pdf in batches:
             for source in pdf["source"]:
-                found = least_costs(shared.value, int(source))
+                found = least_costs(network, int(source))
                 yield pd.DataFrame({"source": source, "node_id": list(found), "cost": list(found.values())})
 
     return sources.repartition("source").mapInPandas(run, "source long, node_id long, cost double")
+
+
+def exact_pair_costs(pairs: DataFrame, network: Network | MappedNetwork) -> DataFrame:
+    """(req_id, cost) of pairs(req_id, start_node, end_node): the least cost, null where there is no way.
+
+    A start is searched once for each of its ends, and no further than to them.
+    """
+    opened = opener(network, pairs.sparkSession)
+
+    def run(batches):
+        network = opened()
+        for pdf in batches:
+            cost = [least_costs(network, int(a), int(b)).get(int(b)) for a, b in zip(pdf["start_node"], pdf["end_node"])]
+            yield pd.DataFrame({"req_id": pdf["req_id"], "cost": pd.array(cost, "Float64")})
+
+    return pairs.select("req_id", "start_node", "end_node").repartition("req_id").mapInPandas(run, "req_id long, cost double")

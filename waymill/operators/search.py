@@ -18,7 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import SparkFiles
+import pyarrow as pa
+from pyspark import SparkFiles, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ class Network:
     @classmethod
     def open(cls, folder: str) -> "Network":
         """The network whose arrays lie in folder, mapped into memory."""
-        load = lambda name: np.load(f"{folder}/{name}.npy", mmap_mode="r")
+        load = lambda name: np.load(f"{folder}/{name}.npy", mmap_mode="r" if os.path.getsize(f"{folder}/{name}.npy") > 128 else None)
         return cls(load("lon"), load("lat"), tuple(Layout(*(load(f"{side}_{part}") for part in LAYOUT)) for side in ("out", "in")))
 
     def km(self, a: int, b: int) -> float:
@@ -189,47 +190,115 @@ def search_one_sided(network: Network, start: int, end: int):
     return None, None
 
 
-def network_of(graph: Graph, config: RouteConfig = RouteConfig()) -> Network:
-    """The graph's arrays on the driver; GraphTooLarge beyond config.broadcast_edges (about 13 bytes an edge and direction)."""
-    count = graph.edges.count()
-    if count > config.broadcast_edges:
-        raise GraphTooLarge(f"{count} edges; at most {config.broadcast_edges} are broadcast")
-    nodes = graph.nodes.select("node_id", "lon", "lat").toPandas()
-    edges = graph.edges.select("edge_id", "src", "dst", "cost", "road_level").toPandas()
-    return Network.of(nodes, edges, config.cache_mode)
+def _packed_nodes(graph: Graph, span: int) -> DataFrame:
+    """(part, at, lon, lat): the nodes of each range of span ids as packed arrays; at: their ids."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        ids = table.column("node_id").to_numpy()
+        order = np.argsort(ids)
+        columns = [table.column("part")[:1], *(pa.array([np.ascontiguousarray(a, kind).tobytes()], pa.binary()) for a, kind in ((ids[order], np.int64), (table.column("lon").to_numpy()[order], np.float64), (table.column("lat").to_numpy()[order], np.float64)))]
+        return pa.table(columns, names=["part", "at", "lon", "lat"])
+
+    nodes = graph.nodes.select(F.floor(F.col("node_id") / span).alias("part"), "node_id", "lon", "lat")
+    return nodes.groupBy("part").applyInArrow(pack, "part long, at binary, lon binary, lat binary")
+
+
+def _packed_edges(graph: Graph, span: int, mode: CacheMode) -> DataFrame:
+    """(side, part, n, at, other, cost, level): both layouts' ranges of span nodes, sorted and packed by executors."""
+    both = [graph.edges.select(F.lit(side).alias("side"), F.floor(F.col(node) / span).alias("part"), F.col(node).alias("node"), F.col(other).alias("other"), "cost", "road_level", "edge_id") for side, (node, other) in enumerate((("src", "dst"), ("dst", "src")))]
+
+    def pack(table: pa.Table) -> pa.Table:
+        node, other, cost, level, edge = (table.column(c).to_numpy() for c in ("node", "other", "cost", "road_level", "edge_id"))
+        part = table.column("part")[0].as_py()
+        if mode is CacheMode.EDGE:
+            cost = np.where(level == 0, cost.astype(np.float32).astype(np.float64), cost)
+        made = Layout.of(node.astype(np.int64) - part * span, other.astype(np.int32), cost.astype(np.float64), level.astype(np.int8), edge.astype(np.int64), span)
+        data = [pa.array([np.ascontiguousarray(getattr(made, name)).tobytes()], pa.binary()) for name in LAYOUT]
+        return pa.table([table.column("side")[:1], table.column("part")[:1], pa.array([len(node)], pa.int64()), *data], names=["side", "part", "n", *LAYOUT])
+
+    kinds = ", ".join(f"{name} binary" for name in LAYOUT)
+    return both[0].unionByName(both[1]).groupBy("side", "part").applyInArrow(pack, f"side int, part long, n long, {kinds}")
 
 
-def map_network(graph: Graph, folder: str, config: RouteConfig = RouteConfig(), chunk: int = 1_000_000) -> "MappedNetwork":
-    """The graph's arrays as files in folder on the driver, filled a range of chunk nodes at a time.
+def _fill(graph: Graph, config: RouteConfig, new) -> tuple:
+    """(lon, lat, sides) made by new(name, kind, size) from ranges that executors pack, one range at a time.
 
-    For graphs too large to broadcast: the driver holds one range's edges, and executors map
-    the files and share their pages. Edges sorted by node make each range a pruned read.
+    The driver holds the arrays and one range, and neither sorts nor converts a row.
     """
-    count, top = graph.edges.count(), graph.nodes.agg(F.max("node_id")).first()[0]
-    n = 0 if top is None else int(top) + 1
-    new = lambda name, kind, size: np.lib.format.open_memmap(f"{folder}/{name}.npy", "w+", kind, (size,))
+    top = graph.nodes.agg(F.max("node_id")).first()[0], *graph.edges.agg(F.max("src"), F.max("dst")).first()
+    n, span = 1 + max((int(t) for t in top if t is not None), default=-1), config.nodes_per_range
     lon, lat = new("lon", np.float64, n), new("lat", np.float64, n)
-    sides = [(side, node, other, [new(f"{side}_{part}", kind, size) for part, kind, size in zip(LAYOUT, (np.int64, np.int32, np.float64, np.int8), (3 * n + 1, count, count, count))]) for side, node, other in (("out", "src", "dst"), ("in", "dst", "src"))]
-    filled = [0, 0]
-    for low in range(0, n, chunk):
-        high = min(low + chunk, n)
-        own = graph.nodes.where(F.col("node_id").between(low, high - 1)).select("node_id", "lon", "lat").toPandas()
-        lon[own["node_id"]], lat[own["node_id"]] = own["lon"], own["lat"]
-        for i, (_, node, other, (at, others, costs, levels)) in enumerate(sides):
-            e = graph.edges.where(F.col(node).between(low, high - 1)).select("edge_id", node, F.col(other).alias("other"), "cost", "road_level").toPandas()
-            cost, level = e["cost"].to_numpy(np.float64), e["road_level"].to_numpy(np.int64)
-            if config.cache_mode is CacheMode.EDGE:
-                cost = np.where(level == 0, cost.astype(np.float32).astype(np.float64), cost)
-            part = Layout.of(e[node].to_numpy(np.int64) - low, e["other"].to_numpy(np.int32), cost, level.astype(np.int8), e["edge_id"].to_numpy(np.int64), high - low)
-            start, stop = filled[i], filled[i] + len(e)
-            at[3 * low : 3 * high + 1] = part.at + start
-            others[start:stop], costs[start:stop], levels[start:stop] = part.other, part.cost, part.level
-            filled[i] = stop
-    for array in (lon, lat, *(a for s in sides for a in s[3])):
+    for row in _packed_nodes(graph, span).toLocalIterator(prefetchPartitions=True):
+        at = np.frombuffer(row["at"], np.int64)
+        lon[at], lat[at] = np.frombuffer(row["lon"], np.float64), np.frombuffer(row["lat"], np.float64)
+    parts = _packed_edges(graph, span, config.cache_mode).persist(StorageLevel.DISK_ONLY)
+    sizes = np.zeros((2, -(-n // span) + 1), np.int64)
+    for row in parts.select("side", "part", "n").collect():
+        sizes[row["side"], row["part"] + 1] = row["n"]
+    starts = np.cumsum(sizes, axis=1)
+    kinds = dict(zip(LAYOUT, (np.int64, np.int32, np.float64, np.int8)))
+    sides = [{name: new(f"{side}_{name}", kind, 3 * n + 1 if name == "at" else int(starts[i, -1])) for name, kind in kinds.items()} for i, side in enumerate(("out", "in"))]
+    for side, arrays in enumerate(sides):
+        for part in range(len(starts[side]) - 1):
+            arrays["at"][3 * part * span : 3 * (part + 1) * span] = starts[side, part]
+        arrays["at"][3 * n] = starts[side, -1]
+    for row in parts.toLocalIterator(prefetchPartitions=True):
+        arrays, start, low = sides[row["side"]], starts[row["side"], row["part"]], row["part"] * span
+        at = np.frombuffer(row["at"], np.int64)[: 3 * (min(n, low + span) - low) + 1]
+        arrays["at"][3 * low : 3 * low + len(at)] = at + start
+        for name in LAYOUT[1:]:
+            arrays[name][start : start + row["n"]] = np.frombuffer(row[name], kinds[name])
+    parts.unpersist()
+    return lon, lat, sides
+
+
+def network_of(graph: Graph, config: RouteConfig = RouteConfig()) -> Network:
+    """The graph's arrays on the driver, to be broadcast; GraphTooLarge beyond config's edges or bytes."""
+    count, nodes = graph.edges.count(), graph.nodes.count()
+    size = 2 * 13 * count + (2 * 8 * 3 + 5 * 8) * nodes
+    if count > config.broadcast_edges or size > config.broadcast_bytes:
+        raise GraphTooLarge(f"{count} edges and {size} bytes; at most {config.broadcast_edges} and {config.broadcast_bytes} are broadcast")
+    lon, lat, sides = _fill(graph, config, lambda name, kind, size: np.zeros(size, kind))
+    return Network(lon, lat, tuple(Layout(**arrays) for arrays in sides))
+
+
+def map_network(graph: Graph, folder: str, config: RouteConfig = RouteConfig()) -> "MappedNetwork":
+    """The graph's arrays as files in folder on the driver, which Spark hands to the executors.
+
+    For graphs too large to broadcast: executors map the files and share their pages.
+    """
+    made = []
+
+    def new(name: str, kind, size: int):
+        if not size:  # an empty file can't be mapped
+            np.save(f"{folder}/{name}.npy", np.zeros(0, kind))
+            return np.zeros(0, kind)
+        made.append(np.lib.format.open_memmap(f"{folder}/{name}.npy", "w+", kind, (size,)))
+        return made[-1]
+
+    _fill(graph, config, new)
+    for array in made:
         array.flush()
     return MappedNetwork(folder)
 
 
+def shared_network(graph: Graph, config: RouteConfig = RouteConfig()) -> "Network | MappedNetwork":
+    """network_of(), or where the graph is too large for that map_network() among the session's own files,
+    which end with it."""
+    try:
+        return network_of(graph, config)
+    except GraphTooLarge:
+        return map_network(graph, tempfile.mkdtemp(prefix="network", dir=SparkFiles.getRootDirectory()), config)
+
+
+def opener(network: "Network | MappedNetwork", spark: SparkSession):
+    """A function that gives the network on executors."""
+    if isinstance(network, MappedNetwork):
+        return network.share(spark)
+    shared = spark.sparkContext.broadcast(network)
+    return lambda: shared.value
+
+
 @dataclass(frozen=True)
 class MappedNetwork:
     """A folder of map_network()'s files; Spark hands it to the executors."""
@@ -244,11 +313,7 @@ class MappedNetwork:
 
 def routes_by_node(requests: DataFrame, network: Network | MappedNetwork, track: bool = False, config: RouteConfig = RouteConfig(), count: int | None = None) -> DataFrame:
     """FOUND for requests(req_id, start_node, end_node); path, cost are null where no route is found, trace without track. count: about how many requests there are, if known."""
-    if isinstance(network, MappedNetwork):
-        opened = network.share(requests.sparkSession)
-    else:
-        shared = requests.sparkSession.sparkContext.broadcast(network)
-        opened = lambda: shared.value
+    opened = opener(network, requests.sparkSession)
 
     def run(batches):
         network = opened()
@@ -298,10 +363,7 @@ def find_paths(requests: DataFrame, graph: Graph, track: bool = False, strict: b
     or mapped from files where the graph is too large for that.
     """
     if network is None:
-        try:
-            network = network_of(graph, config)
-        except GraphTooLarge:
-            network = map_network(graph, tempfile.mkdtemp(prefix="network"), config)
+        network = shared_network(graph, config)
     resolved = resolve(requests, graph, config)
     if strict:
         bad = resolved.where("status <> 'OK'").select("req_id", "status").limit(1).collect()

@@ -7,12 +7,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import RouteConfig
 from ..operators.graph import Graph
-from ..operators.search import find_paths, network_of
+from ..operators.search import find_paths, shared_network
 
 
 def answer_stream(requests: DataFrame, graph: Graph, path: str, checkpoint: str, config: RouteConfig = RouteConfig(), **trigger) -> StreamingQuery:
     """Routes of the streamed requests, appended to path in a folder for each batch; the graph is read once."""
-    network = network_of(graph, config)
+    network = shared_network(graph, config)
 
     def answer(batch: DataFrame, number: int) -> None:
         found = find_paths(batch, graph, config=config, network=network)
