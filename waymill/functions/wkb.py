@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 SRID_FLAG, POINT = 0x20000000, 1  # fixed values of the format
+RECORD = np.dtype([("order", "u1"), ("kind", "<u4"), ("x", "<f8"), ("y", "<f8")])
 
 
 def _number(digits: Column) -> Column:
@@ -49,9 +51,11 @@ def point_of_hex(text: Column) -> Column:
 
 @F.pandas_udf(BinaryType())
 def _packed(x: pd.Series, y: pd.Series) -> pd.Series:
-    import struct
-
-    return pd.Series([None if pd.isna(a) or pd.isna(b) else struct.pack("<BIdd", 1, POINT, a, b) for a, b in zip(x, y)])
+    points = np.empty(len(x), RECORD)
+    points["order"], points["kind"], points["x"], points["y"] = 1, POINT, x, y
+    raw, size = points.tobytes(), RECORD.itemsize
+    whole = [raw[at : at + size] for at in range(0, len(raw), size)]
+    return pd.Series(whole, dtype=object).where((x.notna() & y.notna()).to_numpy(), None)
 
 
 def to_wkb(x: Column, y: Column) -> Column:

@@ -92,12 +92,12 @@ def edges(features: DataFrame, ids: DataFrame) -> DataFrame:
 
     Parallel edges, self loops and duplicates all stay.
     """
-    d = directed(segments(features))
+    # Numbered before the joins, which neither add nor drop rows: numbering reads its input twice.
+    d = dense_number(directed(segments(features)), F.floor(F.col("osm_id") / FEATURES_PER_RANGE), ["osm_id", "seq", "dir"], "edge_id")
     src = ids.select(F.col("coord_key").alias("src_key"), F.col("node_id").alias("src"))
     dst = ids.select(F.col("coord_key").alias("dst_key"), F.col("node_id").alias("dst"))
     named = d.join(src, "src_key").join(dst, "dst_key").withColumn("cost", geo.edge_cost(F.col("distance_km"), F.col("road_level")))
-    numbered = dense_number(named, F.floor(F.col("osm_id") / FEATURES_PER_RANGE), ["osm_id", "seq", "dir"], "edge_id")
-    return numbered.select("edge_id", "src", "dst", "distance_km", "speed", "road_level", "cost")
+    return named.select("edge_id", "src", "dst", "distance_km", "speed", "road_level", "cost")
 
 
 def forward_layout(edges: DataFrame) -> DataFrame:
