@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 QUAD = [(200350.0, 500150.0), (201950.0, 500450.0), (201750.0, 502650.0), (200150.0, 502250.0)]
 KEYWORD, CATEGORY = "7", "BUILDING"
-SOURCES = 5  # of the cost queries: the nodes of the lowest ids with an edge
+BBOX = (38.004, 127.003, 38.026, 127.022)  # degrees: min_lat, min_lon, max_lat, max_lon
 
 
 def query(sql: str | None = None, base: str = "roads"):
@@ -140,9 +141,9 @@ def node_build(spark, sf_dir):
     return Net(spark, sf_dir).nodes.select("node_id", "coord_key", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), "has_record")
 
 
-@query("SELECT node_id, round(lon, 7) AS lon, round(lat, 7) AS lat FROM nodes WHERE node_id BETWEEN 100 AND 199")
+@query("SELECT node_id, round(lon, 7) AS lon, round(lat, 7) AS lat FROM nodes")
 def node_record_read(spark, sf_dir):
-    return Net(spark, sf_dir).nodes.where("node_id between 100 and 199").select("node_id", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
+    return Net(spark, sf_dir).nodes.select("node_id", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
 
 
 @query("SELECT osm_id, seq, key1, key2, round(km, 6) AS km FROM segments")
@@ -256,10 +257,10 @@ def nearest_node(spark, sf_dir):
     return snap.nearest_nodes(net.points, net.index, most=1).select("req_id", "node_id")
 
 
-@query("""SELECT node_id AS req_id, node_id, "offset" FROM node_index WHERE node_id % 3 = 0""")
+@query("""SELECT node_id AS req_id, node_id, "offset" FROM node_index""")
 def node_by_coordinate(spark, sf_dir):
     net = Net(spark, sf_dir)
-    points = net.index.where("node_id % 3 = 0").select(F.col("node_id").alias("req_id"), "lat", "lon")
+    points = net.index.select(F.col("node_id").alias("req_id"), "lat", "lon")
     return snap.by_coordinate(points, net.index).select("req_id", "node_id", "offset")
 
 
@@ -424,10 +425,44 @@ def store_search_category(spark, sf_dir):
 
 
 @query(f"SELECT {_LIST} FROM open_store WHERE {_QUAD_SQL}", "stores")
-def store_search_bbox(spark, sf_dir):
+def store_search_quad(spark, sf_dir):
     return _stores(spark, sf_dir).matching(corners=QUAD)
 
 
+def _projected_sql(min_lat: float, min_lon: float, max_lat: float, max_lon: float) -> str:
+    """Common table expressions that end in quad(x0, y0, ... y3): the area's corners in EPSG:5174."""
+    rx, ry, rz = (math.radians(r / 3600) for r in geo.TM_ROTATION)
+    tx, ty, tz = geo.TM_SHIFT
+    k, a, b = 1 + geo.TM_SCALE * 1e-6, geo.BESSEL_A, geo.BESSEL_A * (1 - geo.BESSEL_F)
+    w, e = geo.WGS84_F * (2 - geo.WGS84_F), geo.BESSEL_F * (2 - geo.BESSEL_F)
+    s = e / (1 - e)
+    arc = f"{a!r} * ({1 - e / 4 - 3 * e**2 / 64 - 5 * e**3 / 256!r} * {{f}} - {3 * e / 8 + 3 * e**2 / 32 + 45 * e**3 / 1024!r} * sin(2e0 * {{f}}) + {15 * e**2 / 256 + 45 * e**3 / 1024!r} * sin(4e0 * {{f}}) - {35 * e**3 / 3072!r} * sin(6e0 * {{f}}))"
+    picked = ", ".join(f"max({c}) FILTER (WHERE i = {i}) AS {c}{i}" for i in range(4) for c in "xy")
+    return f"""
+corner(i, lat, lon) AS (VALUES (0, {min_lat}e0, {min_lon}e0), (1, {min_lat}e0, {max_lon}e0), (2, {max_lat}e0, {max_lon}e0), (3, {max_lat}e0, {min_lon}e0)),
+wgs AS (SELECT i, radians(lat) AS p, radians(lon) AS l, {geo.WGS84_A!r} / sqrt(1e0 - {w!r} * pow(sin(radians(lat)), 2)) AS n FROM corner),
+moved AS (SELECT i, (n * cos(p) * cos(l) - {tx!r}) / {k!r} AS u, (n * cos(p) * sin(l) - {ty!r}) / {k!r} AS v, (n * {1 - w!r} * sin(p) - {tz!r}) / {k!r} AS z FROM wgs),
+turned AS (SELECT i, u + {rz!r} * v - {ry!r} * z AS x, v - {rz!r} * u + {rx!r} * z AS y, z + {ry!r} * u - {rx!r} * v AS z FROM moved),
+leaned AS (SELECT *, sqrt(x * x + y * y) AS r, atan2(z * {a!r}, sqrt(x * x + y * y) * {b!r}) AS t FROM turned),
+bessel AS (SELECT i, atan2(z + {s * b!r} * pow(sin(t), 3), r - {e * a!r} * pow(cos(t), 3)) AS p, atan2(y, x) - {math.radians(geo.TM_LON)!r} AS l FROM leaned),
+parts AS (SELECT i, p, {a!r} / sqrt(1e0 - {e!r} * pow(sin(p), 2)) AS n, pow(tan(p), 2) AS t, {s!r} * pow(cos(p), 2) AS c, l * cos(p) AS d FROM bessel),
+placed AS (SELECT i,
+    {geo.TM_X!r} + n * (d + (1e0 - t + c) * pow(d, 3) / 6e0 + (5e0 - 18e0 * t + t * t + 72e0 * c - {58 * s!r}) * pow(d, 5) / 120e0) AS x,
+    {geo.TM_Y!r} + {arc.format(f='p')} - {arc.format(f=f'({math.radians(geo.TM_LAT)!r})')}
+      + n * tan(p) * (d * d / 2e0 + (5e0 - t + 9e0 * c + 4e0 * c * c) * pow(d, 4) / 24e0 + (61e0 - 58e0 * t + t * t + 600e0 * c - {330 * s!r}) * pow(d, 6) / 720e0) AS y
+  FROM parts),
+quad AS (SELECT {picked} FROM placed)"""
+
+
+_INSIDE_SQL = " AND ".join(f"(x{(i + 1) % 4} - x{i}) * (y - y{i}) - (y{(i + 1) % 4} - y{i}) * (x - x{i}) >= 0" for i in range(4))
+
+
+@query(f", {_projected_sql(*BBOX)} SELECT {_LIST} FROM open_store CROSS JOIN quad WHERE {_INSIDE_SQL}".lstrip(), "stores")
+def store_search_bbox(spark, sf_dir):
+    """Open stores in an area given in degrees, whose corners are reprojected."""
+    return _stores(spark, sf_dir).matching(bbox=BBOX)
+
+
 @query(f"SELECT {_LIST} FROM open_store WHERE {_QUAD_SQL} AND bplc_nm LIKE '%{KEYWORD}%' AND uptae_gbn_nm = '{CATEGORY}' ORDER BY id LIMIT 10", "stores")
 def store_search_combined(spark, sf_dir):
     return _stores(spark, sf_dir).search_rows(PageRequest(0, 10), keyword=KEYWORD, category=CATEGORY, corners=QUAD)
@@ -441,35 +476,41 @@ def store_count_by_search(spark, sf_dir):
 # -- costs and routes
 
 
-def _sources(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("source")).distinct().orderBy("source").limit(SOURCES)
-
-
-_SOURCES_SQL = f"sources AS (SELECT DISTINCT src AS source FROM edges ORDER BY source LIMIT {SOURCES})"
+_SOURCES_SQL = "sources AS (SELECT DISTINCT node_id AS source FROM snapped)"
 _HOPS = " UNION ALL ".join(f"SELECT * FROM h{k}" for k in range(5))
 _HOP_SQL = ", ".join(["h0 AS (SELECT source, source AS node_id, 0e0 AS cost FROM sources)", *[f"h{k} AS (SELECT h.source, e.dst AS node_id, min(h.cost + e.cost) AS cost FROM h{k - 1} h JOIN edges e ON e.src = h.node_id GROUP BY 1, 2)" for k in range(1, 5)]])
 
 
 @query(f", {_SOURCES_SQL}, {_HOP_SQL} SELECT source, node_id, round(min(cost), 6) AS cost FROM ({_HOPS}) u GROUP BY 1, 2".lstrip())
 def sssp_bounded_hops(spark, sf_dir):
-    edges = Net(spark, sf_dir).edges
-    return exact.bounded_costs(edges, _sources(edges), 4).select("source", "node_id", r6("cost").alias("cost"))
+    """Least costs over at most four edges from every node that a request starts or ends at."""
+    net = Net(spark, sf_dir)
+    sources = snap.snap(net.points, net.index, net.nodes).select(F.col("node_id").alias("source")).distinct()
+    return exact.bounded_costs(net.edges, sources, 4).select("source", "node_id", r6("cost").alias("cost"))
+
+
+def _pairs(spark, sf_dir, graph) -> DataFrame:
+    return search.resolve(fx.requests(spark, sf_dir), graph).where("start_node is not null and end_node is not null")
 
 
 @query(None)
 def sssp_exact(spark, sf_dir):
-    graph = Net(spark, sf_dir).graph
-    return exact.exact_costs(_sources(graph.edges), search.network_of(graph)).select("source", "node_id", r6("cost").alias("cost"))
+    """The least cost of every request, and whether the search's route, if it found one, is no cheaper."""
+    graph, found = _routes(spark, sf_dir)
+    best = exact.exact_pair_costs(_pairs(spark, sf_dir, graph), search.shared_network(graph))
+    both = best.join(found.select("req_id", F.col("cost").alias("found")), "req_id")
+    return both.select("req_id", r6("cost").alias("cost"), F.coalesce(F.col("found") >= F.col("cost") - 1e-9, F.col("found").isNull()).alias("no_cheaper"))
 
 
-ORACLE_SQL["sssp_exact"] = f"""WITH RECURSIVE {fx.ROADS_SQL}, {_SOURCES_SQL},
+ORACLE_SQL["sssp_exact"] = f"""WITH RECURSIVE {fx.ROADS_SQL},
+    pair AS (SELECT a.req_id // 2 AS req_id, a.node_id AS start_node, b.node_id AS end_node FROM snapped a JOIN snapped b ON b.req_id = a.req_id + 1 AND a.req_id % 2 = 0),
     best(source, node_id, cost) USING KEY (source, node_id) AS (
-      SELECT source, source, 0e0 FROM sources
+      SELECT DISTINCT start_node, start_node, 0e0 FROM pair
       UNION
       SELECT b.source, e.dst, min(b.cost + e.cost) FROM best b JOIN edges e ON e.src = b.node_id
         LEFT JOIN recurring.best r ON r.source = b.source AND r.node_id = e.dst
       WHERE r.cost IS NULL OR b.cost + e.cost < r.cost GROUP BY 1, 2)
-    SELECT source, node_id, round(cost, 6) AS cost FROM best"""
+    SELECT req_id, round(cost, 6) AS cost, true AS no_cheaper FROM pair LEFT JOIN best ON source = start_node AND node_id = end_node"""
 
 
 def _routes(spark, sf_dir, track: bool = False) -> tuple[g.Graph, DataFrame]:
@@ -500,9 +541,19 @@ def route_invariants(spark, sf_dir):
 
 @query(None)
 def route_by_node(spark, sf_dir):
-    net = Net(spark, sf_dir)
-    pairs = spark.range(50).select(F.col("id").alias("req_id"), (F.col("id") * 7 + 1).alias("start_node"), (F.col("id") * 5 + 300).alias("end_node"))
-    return search.routes_by_node(pairs, search.network_of(net.graph)).select("req_id", "path", r6("cost").alias("cost"))
+    """Routes between the nodes of every request, also of those without an edge."""
+    graph = Net(spark, sf_dir).graph
+    return search.routes_by_node(_pairs(spark, sf_dir, graph), search.shared_network(graph)).select("req_id", "path", r6("cost").alias("cost"))
+
+
+@query("""SELECT req_id, true AS same_as_batch FROM route_request""")
+def route_by_node_checked(spark, sf_dir):
+    """Per request: the route between its nodes is the one that the batch of coordinates gives."""
+    graph, found = _routes(spark, sf_dir)
+    by_node = search.routes_by_node(_pairs(spark, sf_dir, graph), search.shared_network(graph)).select("req_id", F.col("path").alias("by_node"), F.col("cost").alias("by_node_cost"))
+    both = found.join(by_node, "req_id", "left")
+    same = F.col("path").eqNullSafe(F.col("by_node")) & F.col("cost").eqNullSafe(F.col("by_node_cost"))
+    return both.select("req_id", (same | (F.col("status") == "NO_EDGE")).alias("same_as_batch"))
 
 
 @query(None)
@@ -517,8 +568,40 @@ def route_steps(spark, sf_dir):
     return search.route_steps(found, graph.nodes).select("req_id", "step", "node_id", "turn")
 
 
-@query(None)
+@query("SELECT req_id, true AS dense, true AS ends_marked, true AS turns_between FROM route_request")
+def route_steps_checked(spark, sf_dir):
+    """Per request: steps number the route's nodes, the first is START, the last END, all between are turns."""
+    graph, found = _routes(spark, sf_dir)
+    steps = search.route_steps(found, graph.nodes)
+    last = F.col("path_size") - 1
+    known = steps.join(found.select("req_id", F.col("path"), F.size("path").alias("path_size")), "req_id")
+    of = known.groupBy("req_id", "path_size").agg(
+        ((F.count("*") == F.max("path_size")) & (F.count_distinct("step") == F.max("path_size")) & F.bool_and(F.col("path")[F.col("step")] == F.col("node_id"))).alias("dense"),
+        F.bool_and(F.when(F.col("step") == 0, F.col("turn") == "START").when(F.col("step") == last, F.col("turn") == "END").otherwise(True)).alias("ends_marked"),
+        F.bool_and(F.when((F.col("step") > 0) & (F.col("step") < last), F.col("turn").isin("STRAIGHT", "LEFT", "RIGHT", "U_TURN")).otherwise(True)).alias("turns_between"),
+    )
+    true = lambda c: F.coalesce(F.col(c), F.lit(True)).alias(c)
+    return found.select("req_id", "path").join(of, "req_id", "left").select("req_id", F.coalesce("dense", F.col("path").isNull()).alias("dense"), true("ends_marked"), true("turns_between"))
+
+
+@query("SELECT req_id, true AS dense, true AS each_once, true AS reaches_route FROM route_request")
+def route_trace_checked(spark, sf_dir):
+    """Per request: a trace is numbered from 0, expands a node once a side, and has seen the route's every inner node."""
+    graph, found = _routes(spark, sf_dir, track=True)
+    found = found.persist()
+    t = found.where("trace is not null").select("req_id", F.explode("trace").alias("t"))
+    numbered = t.groupBy("req_id").agg(((F.count("*") == F.max("t.seq") + 1) & (F.min("t.seq") == 0)).alias("dense"), (F.count("*") == F.count_distinct("t.side", "t.parent")).alias("each_once"))
+    seen = t.select("req_id", F.explode(F.concat(F.array("t.parent"), "t.visited")).alias("p")).distinct().withColumn("seen", F.lit(True))
+    hops = found.where("path is not null").select("req_id", F.explode(F.expr("slice(path, 2, greatest(size(path) - 2, 0))")).alias("node_id"))
+    places = hops.join(graph.nodes.select("node_id", F.struct("lat", "lon").alias("p")), "node_id").join(seen, ["req_id", "p"], "left")
+    reached = places.groupBy("req_id").agg(F.bool_and(F.col("seen").isNotNull()).alias("reaches_route"))
+    true = lambda c: F.coalesce(F.col(c), F.lit(True)).alias(c)
+    return found.select("req_id").join(numbered, "req_id", "left").join(reached, "req_id", "left").select("req_id", true("dense"), true("each_once"), true("reaches_route"))
+
+
+@query("SELECT req_id, 'NO_NODE' AS status FROM route_request")
 def route_not_found(spark, sf_dir):
+    """Requests that end 60 degrees south of the network."""
     net = Net(spark, sf_dir)
-    far = fx.requests(spark, sf_dir).withColumn("end_lat", F.col("end_lat") + 5.0)
+    far = fx.requests(spark, sf_dir).withColumn("end_lat", F.col("end_lat") - 60.0)
     return search.find_paths(far, net.graph).select("req_id", "status")
