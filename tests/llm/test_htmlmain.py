@@ -23,12 +23,17 @@ def page(article, around="", classes="post-12 main"):
         ("<p>text</p><div class='cookie-notice'>no</div><div hidden>no</div><div role=navigation>no</div>", "text"),
         ("<table><tr><td>a<td>b</table><ul><li>c<li>d</ul>", "a b c d"),
         ("<div class='has-sidebar with-comments'><p>kept</p></div><div class='left sidebar'>no</div>", "kept"),
+        ("<p title='the hidden truth'>a <a href='/p?id=menu'>b</a></p><p data-id='header'>c</p>", "a b c"),
+        ("<p title=don't>a</p><p>it's b</p><p title=\"x>c</p><p>d</p>", "a it's b c d"),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> <svg><title>no</title><path d=x /></svg>b</p>", "a x=1 b"),
+        ("<p class='long-form comments-open'>a</p><div class='article-ad-slot'>no</div><a href=/x/>b</a><b><i>c</b>d</i>", "a bcd"),
+        ("<p>a</ >b</>c</p></section></b><tr><td>d<tr><td>e", "abc d e"),
         ("<P CLASS=x>Caps</P><![CDATA[<raw>]]>", "Caps <raw>"),
     ],
 )
 def test_text(html, want):
-    assert htmlmain.extract(page(html), "html>body>div.main.post-#") == want
-    assert htmlmain.extract(f"<article>{html}</article>", "html>article") == want
+    assert htmlmain.extract(page(html), htmlmain.path_key("html>body>div.main.post-#")) == want
+    assert htmlmain.extract(f"<article>{html}</article>", htmlmain.path_key("html>article")) == want
 
 
 def test_without_a_path_the_best_container_is_taken():
@@ -38,6 +43,40 @@ def test_without_a_path_the_best_container_is_taken():
     assert htmlmain.extract("", None) == "" and htmlmain.extract("just text", None) == "just text" and htmlmain.extract("<p", None) == ""
 
 
+@pytest.mark.parametrize("tag", ["<article class='post long-form'>", "<article class=comments>", "<main class='sidebar'>", "<div style='overflow: hidden'>", "<div class='widget'>", "<div id=page class='site-header-container'>"])
+def test_an_article_outlives_its_marks(tag):
+    body = "<h1>Title</h1>" + "<p>article words here</p>" * 20
+    want = "Title" + " article words here" * 20
+    assert htmlmain.extract(page(f"{tag}{body}</{tag.split()[0][1:]}>", "<div class='cookie-banner'><p>no</p></div>"), None) == want
+
+
+@pytest.mark.parametrize("html", ["<a " * 350_000, "<div>" * 100_000, "<div><i>" * 50_000 + "</b></section>" * 50_000, "<script>" + "</script " * 100_000, "<p title='" * 100_000, "<!" * 400_000, "<p>" * 100_000, "<a x=\"y' " * 100_000])
+def test_time_and_memory_are_in_proportion(html):
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    htmlmain.candidates(html)
+    htmlmain.extract("<p>text</p>" + html, None)
+    assert time.process_time() - began < 8
+    tracemalloc.start()
+    htmlmain.candidates(html)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
+def test_every_path_votes(spark):
+    """A path far down every page's own ranking wins where the host's pages agree on nothing else."""
+    deep = lambda i: "".join(f"<div class='only{chr(97 + i)}{k * 'x'}'>" for k in range(8))
+    rows = [(i, f"http://h.example/{i}", f"<body><div class=s>{'same ' * 60}</div>{deep(i)}{'other ' * 100}", None, None) for i in range(9)]
+    votes = htmlmain.candidates(rows[0][2])
+    key = htmlmain.path_key("html>body>div.s")
+    assert sorted(votes.values(), reverse=True).index(votes[key]) > 5
+    found = htmlmain.extract_main(spark.createDataFrame([r for r in rows], SCHEMA)).collect()
+    assert len(found) == 9 and len({len(r["text"]) > 0 for r in found}) == 1
+
+
 def test_consensus(spark):
     body = lambda n: "<p>" + "article words here " * n + "</p>"
     side = "<div class=box>" + "<p>" + "noise that is long on one page " * 40 + "</p></div>"
