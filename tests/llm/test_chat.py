@@ -34,6 +34,49 @@ def test_windows(turns, budget, history):
     assert said == turns and targets == [t for r, t in turns if r == "assistant"]
 
 
+def listed(turns, budget, history, counter):
+    """The windows by prefix sums over the whole list of turns."""
+    total = [0]
+    for r, t in turns:
+        total.append(total[-1] + counter(chat.render(r, t)[0]))
+    system = 1 if turns and turns[0][0] == "system" else 0
+    at = 0
+    while at < len(turns):
+        first, kept = at, total[system] if at else 0
+        while at > system and first > system and total[at] - total[first - 1] <= history:
+            first -= 1
+        while first < at and kept + total[at + 1] - total[first] > budget:
+            first += 1
+        last = at + 1
+        while last < len(turns) and kept + total[last + 1] - total[first] <= budget:
+            last += 1
+        yield first, at, last, kept + total[last] - total[first]
+        at = last
+
+
+@given(TURNS, st.integers(1, 60), st.integers(0, 30))
+def test_the_stream_gives_the_windows_of_prefix_sums(turns, budget, history):
+    assert [w[:4] for w in chat.windows(iter(turns), budget, history)] == list(listed(turns, budget, history, chat.count_tokens))
+
+
+def test_a_long_conversation_is_never_held():
+    import tracemalloc
+
+    turns = (("user" if i % 2 == 0 else "assistant", f"turn {i} " * 20) for i in range(20_000))
+    tracemalloc.start()
+    n = sum(last - new for _, new, last, *_ in chat.windows(turns, 512, 128))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 20_000 and peak < 1 << 20
+
+
+def test_rows_without_a_conversation_stay_apart(spark):
+    rows = [(None, 0, "user", f"nobody {i % 3}", "w") for i in range(30)] + [(5, 0, "user", "x", "w")]
+    got = chat.digest_windows(chat.format_conversations(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert len(got) == 31 and all(r["n_turns"] == 1 for r in got)
+    assert len({r["turns_sha256"] for r in got}) == 4
+
+
 def test_history_is_repeated_within_its_budget():
     turns = [("system", "be brief"), *[("user" if i % 2 == 0 else "assistant", "word " * 8) for i in range(12)]]
     found = list(chat.windows(turns, 60, 30))
