@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,28 +26,33 @@ def letter_vectors(dim: int = DIM, seed: int = SEED) -> np.ndarray:
     return (np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dim)) * 2 - 1).astype(np.float32)
 
 
-def _symbol_table() -> np.ndarray:
-    """Symbol of every code point of the basic plane: letters by lower case, all else the word edge."""
-    table = np.zeros(0x10000, np.uint8)
-    for c in range(0x10000):
-        ch = chr(c)
-        if ch.isalpha():
-            low = ch.lower()
-            o = ord(low[0])
-            table[c] = o - 96 if 97 <= o <= 122 else 27 + o % (SYMBOLS - 27)
-    return table
+def _symbol(code: int) -> int:
+    """Symbol of a code point: letters by lower case, all else the word edge."""
+    if not chr(code).isalpha():
+        return 0
+    o = ord(chr(code).lower()[0])
+    return o - 96 if 97 <= o <= 122 else 27 + o % (SYMBOLS - 27)
 
 
-_TABLE: list[np.ndarray] = []
+PLANE = 0x10000
+_TABLE: list[np.ndarray] = []  # of the basic plane
+_BEYOND: dict[int, int] = {}  # of the letters met beyond it
 
 
 def symbols(text: str) -> np.ndarray:
     """The symbols of a text's letters and one edge for each run of anything else, edges at both ends."""
     if not _TABLE:
-        _TABLE.append(_symbol_table())
-    codes = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
+        _TABLE.append(np.array([_symbol(c) for c in range(PLANE)], np.uint8))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     out = np.zeros(len(codes) + 2, np.uint8)
-    out[1:-1] = _TABLE[0][codes]
+    out[1:-1] = _TABLE[0][np.minimum(codes, PLANE - 1)]
+    beyond = np.flatnonzero(codes >= PLANE)
+    if len(beyond):
+        found, where = np.unique(codes[beyond], return_inverse=True)
+        for c in found.tolist():
+            if c not in _BEYOND:
+                _BEYOND[c] = _symbol(c)
+        out[1 + beyond] = np.array([_BEYOND[c] for c in found.tolist()], np.uint8)[where]
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
     return out[keep]
@@ -171,18 +177,28 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """docs without the rows that have no language: no letter, or a score under least (0: none is too low).
+    """docs without the rows that are in no language; where lang is null, the predicted one takes its place.
 
-    The model is learned as in identify(). All columns of the rows kept stay as they are,
-    whatever their names.
+    A text without a letter is in none, and one whose score isn't over least: 0 is a text that is
+    no closer to its best language than to the mean of all. The model is learned as in identify();
+    where no row teaches one, every text with a letter stays, and a null lang stays null. All
+    other values and columns of the rows kept stay as they are, whatever their names.
     """
-    scorer = Scorer(prototypes(_split(docs).where("not held_out")))
-    names, at = docs.columns, docs.columns.index("text")
-    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    model = prototypes(_split(docs).where("not held_out"))
+    scorer = Scorer(model or {UNKNOWN: np.ones(DIM)})
+    names, text, lang = docs.columns, docs.columns.index("text"), docs.columns.index("lang")
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn(f"c{lang}", F.col(f"c{lang}").cast("string"))
 
     def run(batches):
-        for batch, texts in _groups(batches, column=f"c{at}"):
+        for batch, texts in _groups(batches, column=f"c{text}"):
             pred, score = scorer(texts)
-            yield batch.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(pred, score)], pa.bool_()))
-
-    return numbered.mapInArrow(run, numbered.schema).toDF(*names)
+            if model:
+                known = pc.if_else(pc.is_null(batch.column(lang)), pa.array(pred, pa.string()), batch.column(lang))
+                batch = batch.set_column(lang, batch.schema.field(lang), known)
+                keep = [p != UNKNOWN and s > least for p, s in zip(pred, score)]
+            else:
+                keep = [bool((symbols(t) != 0).any()) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    back = [F.col(f"c{i}").cast(docs.schema[n].dataType).alias(n) if i == lang else F.col(f"c{i}").alias(n) for i, n in enumerate(names)]
+    return numbered.mapInArrow(run, numbered.schema).select(*back)
