@@ -111,11 +111,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
     Lengths are in words; start is the piece's first word. Clusters are groups of equal texts.
     bin_id is unique over all shards. A null or empty text is a piece of length 0; a null source
     conflicts with no source, a null text with no text; repeated rows are packed each, in bins of
-    their own; other columns are not read; no rows give no rows.
+    their own, and dealt over all shards by their number; other columns are not read; no rows give
+    no rows.
     """
     items = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.md5("text").alias("cluster"), n_words(F.col("text")).cast("long").alias("n"))
+    alike = items.groupBy("doc_id", "source", "cluster", "n").agg(F.count("*").alias("rows"))
+    numbered = alike.select("doc_id", "source", "cluster", "n", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row"))
     shards = max(1, -(-docs.count() // shard_docs))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
+    items = numbered.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "row"), F.lit(shards))).drop("row")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "doc_id", "source", "cluster"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
