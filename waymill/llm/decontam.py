@@ -47,10 +47,15 @@ def n_words(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(text, f"{SEPARATOR}+")) - edges).cast("long")
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a number of their own in the column name, the same on every later read."""
+    return checkpointed(rows.withColumn(name, F.monotonically_increasing_id()), narrow=True)
+
+
 def item_words(benchmark: DataFrame) -> DataFrame:
     """(item, item_id, n, pos, word) of every word of benchmark(item_id, text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    items = benchmark.select(F.xxhash64("item_id", text).alias("item"), F.col("item_id").cast("string").alias("item_id"), text.alias("text")).distinct()
+    items = numbered(benchmark.select(F.col("item_id").cast("string").alias("item_id"), text.alias("text")).distinct(), "item")
     items = items.select("*", n_words(F.col("text")).cast("int").alias("n"))
     return word_rows(items, "item", "item_id", "n")
 
@@ -66,8 +71,7 @@ class Index:
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame):
         words = item_words(benchmark)
-        vocabulary = words.select("word").distinct()
-        terms = checkpointed(vocabulary.select("word", F.row_number().over(Window.orderBy("word")).cast("int").alias("term")), narrow=True)
+        terms = numbered(words.select("word").distinct(), "term")
         self.postings = build_index(docs, terms)
         counts = self.postings.groupBy("term").agg(F.count("*").alias("count"))
         self.items = checkpointed(words.join(terms, "word").join(counts, "term", "left").select("item", "item_id", "n", "pos", "term", F.coalesce("count", F.lit(0)).alias("count")), narrow=True)
