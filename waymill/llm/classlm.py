@@ -4,10 +4,13 @@ p(word | previous word) = p(class of word | class of previous word) * p(word | i
 
 Texts are encoded once into batches: a dictionary of the batch's distinct words and the tokens
 as its numbers. Words then travel as packed 128-bit keys, once a batch, to buckets, where their
-training counts and the counts of their neighbours' seed classes are added up. The most frequent
-words seed the classes, and exchange rounds move every word to the class whose contexts explain
-its own best, all words at once against the last round's classes, until the rounds are over.
-Words seen once are a class of their own, which also holds the unknown word.
+training counts and the counts of their neighbours' classes are added up. The most frequent words
+seed the classes. An exchange moves every word to the class whose contexts explain its own best,
+until its rounds are over, and the batches learn their words' new classes; the next exchange counts
+the contexts anew, in these classes. After each exchange the likelihood of the training tokens
+under the class bigrams is counted, and an exchange that lowers it is undone and ends the
+clustering, so the likelihood never falls. Words seen once are a class of their own, which also
+holds the unknown word.
 """
 
 from __future__ import annotations
@@ -24,16 +27,15 @@ from .common import crc_bucket, spilled, text_groups
 CLASSES = 64  # the end's, the seeds', the others', and that of words seen once
 END, RARE, OTHERS = 0, CLASSES - 1, CLASSES - 2
 SLOTS = 2 * CLASSES  # a word's contexts: the class before it, then the class after it
-ROUNDS = 4
+ROUNDS = 4  # of moves within an exchange
+EXCHANGES = 2
 BATCH = 12 << 20
 BUCKET_WORDS = 150_000  # a bucket's words, a batch each, on average
-SEED_CANDIDATES = 1024  # of a batch, its most frequent words
 
-ENCODED = "batch string, ids array<long>, held array<boolean>, lengths array<int>, codes binary, words binary, counts binary, n_words int"
-REQUESTS = "bucket int, batch string, at binary, keys binary, counts binary, sizes binary, slots binary, numbers binary"
-BUCKETS = "bucket int, keys binary, batches array<string>, ats array<binary>, words array<binary>, totals binary, sizes binary, slots binary, numbers binary"
+BATCHES = "batch string, ids array<long>, held array<boolean>, lengths array<int>, codes binary, words binary, counts binary, n_words int, totals binary, classes binary, old binary"
+REQUESTS = "bucket int, batch string, at binary, keys binary, counts binary, classes binary, sizes binary, slots binary, numbers binary"
+BUCKETS = "bucket int, batches array<string>, ats array<binary>, words array<binary>, totals binary, classes binary, sizes binary, slots binary, numbers binary"
 REPLIES = "batch string, at binary, totals binary, classes binary"
-MERGED = "batch string, ids array<long>, held array<boolean>, lengths array<int>, codes binary, totals binary, classes binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -58,7 +60,7 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """The batches of docs(doc_id, text, held): see ENCODED. Word 0 of a batch is the end."""
+    """The batches of docs(doc_id, text, held): see BATCHES. Word 0 of a batch is the end; classes are not known yet."""
 
     def run(batches):
         for batch, texts in text_groups(batches, limit=BATCH):
@@ -73,11 +75,11 @@ def encode(docs: DataFrame) -> DataFrame:
             codes = np.concatenate(parts)
             counts = np.bincount(codes[np.repeat(~np.array(held, bool), lengths)], minlength=len(known))
             first = xxhash.xxh3_64_hexdigest(codes.tobytes()) + f"-{batch.column('doc_id')[0].as_py()}-{batch.column('part')[0].as_py()}"
-            row = (first, batch.column("doc_id").to_pylist(), held, lengths.tolist(), _packed(codes, np.uint32), zstandard.compress(b" ".join(known)), _packed(counts, np.uint32), len(known))
-            yield _record([row], ENCODED)
+            row = (first, batch.column("doc_id").to_pylist(), held, lengths.tolist(), _packed(codes, np.uint32), zstandard.compress(b" ".join(known)), _packed(counts, np.uint32), len(known), None, None, None)
+            yield _record([row], BATCHES)
 
     part = F.monotonically_increasing_id()
-    return spilled(docs.select(F.col("doc_id").cast("long"), "text", "held", part.alias("part")).mapInArrow(run, ENCODED))
+    return spilled(docs.select(F.col("doc_id").cast("long"), "text", "held", part.alias("part")).mapInArrow(run, BATCHES))
 
 
 def _training(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -87,31 +89,50 @@ def _training(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], now[:-1]]), now
 
 
-def seeds(encoded: DataFrame) -> dict[bytes, int]:
-    """Classes of the words that seed them: the most frequent among all batches' most frequent words."""
+def _counted(encoded: DataFrame, pick) -> DataFrame:
+    """(word, n) of the words that pick(words, counts) names by their places, added up over all batches."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 words, counts = zstandard.decompress(row["words"]).split(b" "), _unpacked(row["counts"], np.uint32)
-                best = np.lexsort((np.arange(len(counts)), -counts.astype(np.int64)))[: SEED_CANDIDATES + 1]
-                rows = [(words[i], int(counts[i])) for i in best if i and counts[i]]
+                rows = [(words[i], int(counts[i])) for i in pick(words, counts) if i and counts[i]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], ["word", "n"])
 
-    top = encoded.select("words", "counts").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(OTHERS - 1)
-    return {bytes(r["word"]): i + 1 for i, r in enumerate(top.collect())}
+    return encoded.select("words", "counts").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def requests(encoded: DataFrame, seeded: dict[bytes, int], buckets: int) -> DataFrame:
-    """Every batch's words for every bucket: keys, training counts and counts of context slots."""
+def seeds(encoded: DataFrame, count: int = OTHERS - 1) -> dict[bytes, int]:
+    """Classes of the words that seed them: the count most frequent of all, by whole counts.
+
+    The count-th best sum of the batches' own best words is a floor. A word whose counts all lie
+    under its share a batch can't reach it; all others are counted in every batch.
+    """
+    top = lambda df: df.orderBy(F.desc("n"), "word").limit(count).collect()
+    best = top(_counted(encoded, lambda words, counts: np.argsort(-counts.astype(np.int64), kind="stable")[: count + 1]))
+    if len(best) == count:
+        share = best[-1]["n"] / encoded.count()
+        wanted = {bytes(r["word"]) for r in _counted(encoded, lambda words, counts: np.flatnonzero(counts >= share)).select("word").collect()}
+        best = top(_counted(encoded, lambda words, counts: [i for i, w in enumerate(words) if w in wanted]))
+    return {bytes(r["word"]): i + 1 for i, r in enumerate(best)}
+
+
+def requests(batches: DataFrame, seeded: dict[bytes, int], buckets: int) -> DataFrame:
+    """Every batch's words for every bucket: keys, training counts, classes and counts of context slots.
+
+    Words whose classes aren't known are in those that seeded tells, or in OTHERS.
+    """
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 words = zstandard.decompress(row["words"]).split(b" ")
                 digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
-                classes = np.fromiter((seeded.get(w, OTHERS) for w in words), np.int64, len(words))
-                classes[0] = END
+                if row["classes"] is None:
+                    classes = np.fromiter((seeded.get(w, OTHERS) for w in words), np.int64, len(words))
+                    classes[0] = END
+                else:
+                    classes = _unpacked(row["classes"], np.uint8).astype(np.int64)
                 before, now = _training(row)
                 pairs = np.concatenate([now * SLOTS + classes[before], before * SLOTS + CLASSES + classes[now]])
                 pairs, number = np.unique(pairs, return_counts=True)
@@ -126,11 +147,11 @@ def requests(encoded: DataFrame, seeded: dict[bytes, int], buckets: int) -> Data
                     n = sizes[own]
                     at = np.repeat(ends[own] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     yield _record(
-                        [(int(bucket[own[0]]), row["batch"], _packed(own, np.uint32), np.ascontiguousarray(digests[own]).tobytes(), _packed(counts[own], np.uint32), _packed(n, np.uint16), _packed(pairs[at] % SLOTS, np.uint8), _packed(number[at], np.uint32))],
+                        [(int(bucket[own[0]]), row["batch"], _packed(own, np.uint32), np.ascontiguousarray(digests[own]).tobytes(), _packed(counts[own], np.uint32), _packed(classes[own], np.uint8), _packed(n, np.uint16), _packed(pairs[at] % SLOTS, np.uint8), _packed(number[at], np.uint32))],
                         REQUESTS,
                     )
 
-    return encoded.select("batch", "held", "lengths", "codes", "words", "counts").mapInArrow(run, REQUESTS)
+    return batches.select("batch", "held", "lengths", "codes", "words", "counts", "classes").mapInArrow(run, REQUESTS)
 
 
 def gather(asked: DataFrame) -> DataFrame:
@@ -144,6 +165,8 @@ def gather(asked: DataFrame) -> DataFrame:
         number = np.empty(len(keys), np.int64)
         number[order] = np.cumsum(new) - 1
         words = int(new.sum())
+        classes = np.zeros(words, np.uint8)
+        classes[number] = np.concatenate([_unpacked(r["classes"], np.uint8) for r in rows])
         counts = np.concatenate([_unpacked(r["counts"], np.uint32) for r in rows])
         totals = np.bincount(number, counts, words).astype(np.int64)
         size = np.concatenate([_unpacked(r["sizes"], np.uint16) for r in rows])
@@ -153,8 +176,8 @@ def gather(asked: DataFrame) -> DataFrame:
         n = np.bincount(where, n, len(pairs)).astype(np.int64)
         asked_for = np.split(number, np.cumsum([len(r["keys"]) // 16 for r in rows])[:-1])
         row = (
-            rows[0]["bucket"], np.ascontiguousarray(keys[order][new]).tobytes(), [r["batch"] for r in rows], [r["at"] for r in rows], [_packed(a, np.uint32) for a in asked_for],
-            _packed(totals, np.int64), _packed(np.bincount(pairs // SLOTS, minlength=words), np.uint16), _packed(pairs % SLOTS, np.uint8), _packed(n, np.int64),
+            rows[0]["bucket"], [r["batch"] for r in rows], [r["at"] for r in rows], [_packed(a, np.uint32) for a in asked_for],
+            _packed(totals, np.int64), _packed(classes, np.uint8), _packed(np.bincount(pairs // SLOTS, minlength=words), np.uint16), _packed(pairs % SLOTS, np.uint8), _packed(n, np.int64),
         )
         return pa.Table.from_batches([_record([row], BUCKETS)])
 
@@ -182,17 +205,12 @@ def choose(contexts: np.ndarray, totals: np.ndarray, profiles: np.ndarray) -> np
     return np.where(totals > 1, best, RARE)
 
 
-def _classes(row: dict, seeded: dict[bytes, int], profiles: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts, totals, classes) of a bucket: by profiles, or without them by seeds. The end stays apart."""
+def _classes(row: dict, profiles: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, totals, classes) of a bucket: by profiles, or without them the classes so far. The end stays apart."""
     contexts, totals = _contexts(row)
-    fixed = {b"": END} if profiles is not None else {b"": END, **seeded}
-    classes = np.where(totals > 1, OTHERS, RARE) if profiles is None else choose(contexts, totals, profiles)
-    keys = np.frombuffer(row["keys"], np.uint64).reshape(-1, 2)
-    for word, c in fixed.items():
-        key = np.frombuffer(xxhash.xxh3_128_digest(word), np.uint64)
-        at, end = np.searchsorted(keys[:, 0], key[0]), np.searchsorted(keys[:, 0], key[0], side="right")
-        classes[at:end][keys[at:end, 1] == key[1]] = c
-    return contexts, totals, classes
+    own = _unpacked(row["classes"], np.uint8).astype(np.int64)
+    classes = np.where(totals > 1, own, RARE) if profiles is None else choose(contexts, totals, profiles)
+    return contexts, totals, np.where(own == END, END, classes)
 
 
 def _summed(partial: DataFrame, cells: int) -> np.ndarray:
@@ -204,31 +222,32 @@ def _summed(partial: DataFrame, cells: int) -> np.ndarray:
     return out
 
 
-def exchange(gathered: DataFrame, seeded: dict[bytes, int], rounds: int = ROUNDS) -> np.ndarray:
-    """(classes x slots): the context profiles of the classes after the rounds."""
+def exchange(gathered: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """(classes x slots): the context profiles of the classes after rounds of moves, contexts in the classes so far."""
     profiles = None
     for _ in range(rounds):
 
         def run(batches, profiles=profiles):
             for batch in batches:
                 for row in batch.to_pylist():
-                    contexts, _, classes = _classes(row, seeded, profiles)
+                    contexts, _, classes = _classes(row, profiles)
                     sums = np.zeros((CLASSES, SLOTS))
                     np.add.at(sums, classes, contexts)
                     yield pa.RecordBatch.from_arrays([pa.array([sums.astype(np.int64).ravel().tolist()], pa.list_(pa.int64()))], ["v"])
 
-        partial = gathered.select("keys", "totals", "sizes", "slots", "numbers").mapInArrow(run, "v array<long>")
+        partial = gathered.select("totals", "classes", "sizes", "slots", "numbers").mapInArrow(run, "v array<long>")
         profiles = _summed(partial, CLASSES * SLOTS).reshape(CLASSES, SLOTS)
     return profiles
 
 
-def assign(encoded: DataFrame, gathered: DataFrame, seeded: dict[bytes, int], profiles: np.ndarray) -> DataFrame:
-    """The batches with the total and the class of each of their words: see MERGED."""
+def assign(batches: DataFrame, gathered: DataFrame, profiles: np.ndarray, again: bool) -> DataFrame:
+    """The batches with the total and the new class of each of their words; old: the class before, if there was
+    one. The words themselves stay only if they are asked for again."""
 
-    def reply(batches):
-        for batch in batches:
+    def reply(rows):
+        for batch in rows:
             for row in batch.to_pylist():
-                _, totals, classes = _classes(row, seeded, profiles)
+                _, totals, classes = _classes(row, profiles)
                 for name, at, words in zip(row["batches"], row["ats"], row["words"]):
                     own = _unpacked(words, np.uint32)
                     yield _record([(name, at, _packed(totals[own], np.int64), _packed(classes[own], np.uint8))], REPLIES)
@@ -240,33 +259,74 @@ def assign(encoded: DataFrame, gathered: DataFrame, seeded: dict[bytes, int], pr
             for r in replies.to_pylist():
                 at = _unpacked(r["at"], np.uint32)
                 totals[at], classes[at] = _unpacked(r["totals"], np.int64), _unpacked(r["classes"], np.uint8)
-            out.append((row["batch"], row["ids"], row["held"], row["lengths"], row["codes"], _packed(totals, np.int64), _packed(classes, np.uint8)))
-        return pa.Table.from_batches([_record(out, MERGED)])
+            out.append((*[row[c] for c in ("batch", "ids", "held", "lengths", "codes", "words", "counts", "n_words")], _packed(totals, np.int64), _packed(classes, np.uint8), row["classes"]))
+        return pa.Table.from_batches([_record(out, BATCHES)])
 
+    if not again:
+        none = F.lit(None).cast("binary")
+        batches = batches.withColumn("words", none).withColumn("counts", none)
     answers = gathered.mapInArrow(reply, REPLIES)
-    narrow = encoded.drop("words", "counts")
-    return spilled(narrow.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(merge, MERGED))
+    return spilled(batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(merge, BATCHES))
 
 
-class Model:
-    """Training counts that score texts: tokens, distinct tokens, those seen once and twice, class transitions."""
+def transitions(batches: DataFrame, column: str = "classes") -> np.ndarray:
+    """(classes x classes): how often a training token of one class follows one of another."""
 
-    def __init__(self, gathered: DataFrame, merged: DataFrame):
-        def count(batches):
+    def run(rows):
+        for batch in rows:
+            for row in batch.to_pylist():
+                classes, (before, now) = _unpacked(row[column], np.uint8).astype(np.int64), _training(row)
+                n = np.bincount(classes[before] * CLASSES + classes[now], minlength=CLASSES**2)
+                yield pa.RecordBatch.from_arrays([pa.array([n.tolist()], pa.list_(pa.int64()))], ["v"])
+
+    return _summed(batches.select("held", "lengths", "codes", column).mapInArrow(run, "v array<long>"), CLASSES**2).reshape(CLASSES, CLASSES)
+
+
+def likelihood(moved: np.ndarray) -> float:
+    """What classes add to the training tokens' log likelihood; the rest depends on the words alone."""
+    plogp = lambda n: float((n * np.log(np.maximum(n, 1))).sum())
+    return plogp(moved) - plogp(moved.sum(axis=0)) - plogp(moved.sum(axis=1))
+
+
+class Clustered:
+    """The words' classes after the exchanges: batches, the column of the classes that hold, their
+    transitions, the likelihood after each exchange, and counts of the training tokens: all, distinct,
+    seen once and twice. Tables that are no longer read are released."""
+
+    def __init__(self, encoded: DataFrame, exchanges: int = EXCHANGES):
+        words = encoded.agg(F.sum("n_words")).first()[0] or 0
+        buckets = max(8, -(-words // BUCKET_WORDS))
+        seeded, self.batches, self.column, self.likelihoods = seeds(encoded), encoded, "classes", []
+        for k in range(exchanges):
+            gathered = gather(requests(self.batches, seeded, buckets))
+            if not k:
+                self.counts = self._count(gathered)
+            moved = assign(self.batches, gathered, exchange(gathered), k + 1 < exchanges)
+            after = transitions(moved)
+            self.batches.unpersist()
+            gathered.unpersist()
+            self.batches = moved
+            self.likelihoods.append(likelihood(after))
+            if k and self.likelihoods[-1] < self.likelihoods[-2]:
+                self.column = "old"  # undone; self.moved is still that of the classes before
+                break
+            self.moved = after
+
+    def _count(self, gathered: DataFrame) -> np.ndarray:
+        def run(batches):
             for batch in batches:
                 for row in batch.to_pylist():
                     t = _unpacked(row["totals"], np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([[int(t.sum()), int((t > 0).sum()), int((t == 1).sum()), int((t == 2).sum())]], pa.list_(pa.int64()))], ["v"])
 
-        def moves(batches):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    classes, (before, now) = _unpacked(row["classes"], np.uint8).astype(np.int64), _training(row)
-                    n = np.bincount(classes[before] * CLASSES + classes[now], minlength=CLASSES**2)
-                    yield pa.RecordBatch.from_arrays([pa.array([n.tolist()], pa.list_(pa.int64()))], ["v"])
+        return _summed(gathered.select("totals").mapInArrow(run, "v array<long>"), 4)
+
+
+class Model:
+    """Training counts that score texts: tokens, distinct tokens, those seen once and twice, class transitions."""
 
-        self.n, self.v, once, twice = _summed(gathered.select("totals").mapInArrow(count, "v array<long>"), 4)
-        moved = _summed(merged.select("held", "lengths", "codes", "classes").mapInArrow(moves, "v array<long>"), CLASSES**2).reshape(CLASSES, CLASSES)
+    def __init__(self, counts: np.ndarray, moved: np.ndarray):
+        self.n, self.v, once, twice = counts
         self.log_moves = np.log10((moved + 1) / (moved.sum(axis=1, keepdims=True) + CLASSES))
         self.class_tokens = moved.sum(axis=0)
         # The share of RARE that is unknown, by how much rarer words seen twice are than those seen once.
@@ -283,11 +343,11 @@ class Model:
         return np.log10(p, out=np.full(len(p), -300.0), where=p > 0)
 
 
-def score_batches(merged: DataFrame, model: Model) -> DataFrame:
+def score_batches(batches: DataFrame, column: str, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                totals, classes = _unpacked(row["totals"], np.int64), _unpacked(row["classes"], np.uint8)
+                totals, classes = _unpacked(row["totals"], np.int64), _unpacked(row[column], np.uint8)
                 codes, lengths = _unpacked(row["codes"], np.uint32), np.array(row["lengths"], np.int64)
                 starts = np.cumsum(lengths) - lengths
                 base = np.log10((totals + 1) / (model.n + model.v + 1))
@@ -305,7 +365,7 @@ def score_batches(merged: DataFrame, model: Model) -> DataFrame:
                     [c.split()[0] for c in SCORES.split(", ")],
                 )
 
-    return merged.drop("batch").mapInArrow(run, SCORES)
+    return batches.select("ids", "held", "lengths", "codes", "totals", column).mapInArrow(run, SCORES)
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
@@ -318,9 +378,5 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     Other columns are not read.
     """
     split = docs.select("doc_id", "text", (crc_bucket(F.col("doc_id").cast("long"), modulus) == held).alias("held"))
-    encoded = encode(split)
-    words = encoded.agg(F.sum("n_words")).first()[0] or 0
-    seeded = seeds(encoded)
-    gathered = gather(requests(encoded, seeded, max(8, -(-words // BUCKET_WORDS))))
-    merged = assign(encoded, gathered, seeded, exchange(gathered, seeded))
-    return score_batches(merged, Model(gathered, merged))
+    found = Clustered(encode(split))
+    return score_batches(found.batches, found.column, Model(found.counts, found.moved))
