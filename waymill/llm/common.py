@@ -22,10 +22,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point reliable checkpoints at spark.checkpoint.dir; a temporary folder only where it is unset."""
+    """Point reliable checkpoints at spark.checkpoint.dir.
+
+    Where it is unset, as in tests, a local session gets a temporary folder; a cluster's executors
+    don't share one, so there it is an error.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
 
 
 def checkpointed(df: DataFrame, narrow: bool = False) -> DataFrame:
