@@ -189,29 +189,30 @@ def text_digest(docs: DataFrame) -> Column:
     return F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
 
 
-def one_of_each(docs: DataFrame, rows: DataFrame, repeats: bool = False) -> DataFrame:
+def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs with one row of each group in rows(doc_id, digest, group), which names every row of docs.
 
     That of the smallest doc_id stays, null being larger than all others, and of these the one
-    with the smallest digest. Rows alike in doc_id and text are one row, or all stay with
-    repeats. The dropped rows' keys are broadcast while they are few; docs itself is shuffled only
-    where they aren't, or to find rows alike.
+    with the smallest digest; rows alike in doc_id and text are one row. Groups of more rows than
+    one, and the dropped rows' keys, are broadcast while they are few; docs itself is shuffled only
+    where they aren't, or, of it, the rows that have others alike.
     """
-    keys = rows.groupBy("group", "doc_id", "digest").count()
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    least = rows.groupBy("group").agg(F.min(first).alias("first")).select(F.col("group").alias("of"), "first")
-    ranked = checkpointed(
-        keys.join(least, F.col("group") == F.col("of")).select("doc_id", "digest", "count", (first == F.col("first")).alias("stays")).where("not stays or count > 1"),
-        narrow=True,
-    )
-    gone = small(ranked.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")), SMALL_ROWS)
-    rest = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (text_digest(docs) == gone["gone_digest"]), "left_anti")
-    if repeats or ranked.where("stays").isEmpty():
+    crowds = rows.groupBy("group").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("group").alias("of"), "first")
+    crowds = small(checkpointed(crowds, narrow=True), SMALL_ROWS)
+    members = rows.join(crowds, F.col("group") == F.col("of")).groupBy("doc_id", "digest", (first == F.col("first")).alias("stays")).count()
+    members = checkpointed(members.select(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest"), "stays", "count"), narrow=True)
+    named = lambda df, keys: df["doc_id"].cast("long").eqNullSafe(keys["own_id"]) & (text_digest(df) == keys["own_digest"])
+    gone = small(members.where("not stays").select("own_id", "own_digest"), SMALL_ROWS)
+    rest = docs.join(gone, named(docs, gone), "left_anti")
+    twice = members.where("stays and count > 1").select("own_id", "own_digest")
+    if twice.isEmpty():
         return rest
-    name = "digest"
+    twice, name = small(twice, SMALL_ROWS), "digest"
     while name in docs.columns:
         name += "_"
-    return rest.withColumn(name, text_digest(rest)).dropDuplicates(["doc_id", name]).drop(name)
+    alike = rest.join(twice, named(rest, twice), "left_semi")
+    return rest.join(twice, named(rest, twice), "left_anti").unionByName(alike.withColumn(name, text_digest(alike)).dropDuplicates(["doc_id", name]).drop(name))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
