@@ -62,6 +62,50 @@ def corpus(seed):
     return rows
 
 
+def interleaved():
+    """Windows alike for the 40 bytes that are sorted by themselves and told apart, or not, by what follows."""
+    r = random.Random(5)
+    head = bytes(r.randrange(97, 123) for _ in range(41))
+    tails = [bytes(r.randrange(97, 123) for _ in range(30)) for _ in range(6)]
+    text = b"".join(head + tails[r.randrange(6)] for _ in range(300))
+    places = np.arange(0, 300 * 71 - 71, 71)
+    return np.frombuffer(text, np.uint8), places, [text[p : p + 50] for p in places.tolist()]
+
+
+def test_the_ranks_decide_which_windows_are_equal(monkeypatch):
+    text, places, windows = interleaved()
+
+    def right():
+        got = suffix.equal_windows(text, places, 50)
+        return len({*zip(got.tolist(), windows)}) == len(set(got.tolist())) == len(set(windows))
+
+    assert suffix.PERIOD < 50 and right()
+    monkeypatch.setattr(suffix, "cover_ranks", lambda keys, n: np.zeros(n + suffix.PERIOD, np.int64))
+    assert not right()
+
+
+@pytest.mark.parametrize("unit", [b"a", b"ab", b"abc" * 30, bytes(range(50)) * 3])
+def test_long_ties(unit):
+    text = np.frombuffer(unit * (3000 // len(unit)) + b"a" + unit * (1000 // len(unit)), np.uint8)
+    data = text.tobytes()
+    got = np.concatenate(list(suffix.sorted_suffixes(text, block=500)))
+    assert got.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+
+
+def test_one_passage_in_every_group_is_few_numbers(spark, monkeypatch):
+    """A passage that all documents share costs a segment an anchor and group, but for those at its ends, which differ."""
+    monkeypatch.setattr(sufdedup, "GROUP_BYTES", 20_000)
+    r = random.Random(3)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(200))
+    rows = [(i, " ".join(passage + "".join(r.choice("ijklmnop") for _ in range(60)) for _ in range(4))) for i in range(200)]
+    work = sufdedup.SubstringDedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    sent = work._segments().collect()
+    whole = sum(len(sufdedup._unpack(x["lengths"])) for x in sent)
+    assert work.groups > 5 and whole < 800 * 3
+    got = sorted((tuple(x) for x in sufdedup.removed_spans(spark.createDataFrame([(*x, "l", 5, 6) for x in rows], DOCS)).drop("spans").collect()), key=str)
+    assert got == plain(rows)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_documents(spark, monkeypatch, seed):
     monkeypatch.setattr(sufdedup, "CHUNK", 3000)

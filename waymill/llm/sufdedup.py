@@ -6,7 +6,10 @@ buckets by their anchor: the smallest of the hashed 16-byte strings in them, whi
 their bytes alone, so equal strings meet. Anchors of one document only can't repeat and are
 left out; around the others, each bucket sorts the suffixes of its distinct segments with
 suffix.sorted_suffixes(). Texts travel once, keyed by a group of documents, and all else as
-packed arrays. Exact copies are found by digest first: only the smallest copy is searched, so
+packed arrays. A group tells a bucket each anchor and each distinct segment once, with the
+smallest and the largest id that has it there, and is told the smallest id of all for the
+segment's windows; so the inside of a passage that many documents share costs a few numbers a
+group, however often it occurs; the segments at its two ends reach into what differs. Exact copies are found by digest first: only the smallest copy is searched, so
 a group of copies costs a narrow row for each.
 """
 
@@ -16,6 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,17 +147,21 @@ def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _bucket_spans(table: pa.Table, width: int) -> pa.Table:
-    """The spans to remove that one bucket's segments tell, by group of documents."""
+def _hashes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
+def _least_ids(table: pa.Table, width: int) -> pa.Table:
+    """What one bucket's segments tell: the smallest id of each of their windows, by group of documents."""
     seen: dict[bytes, int] = {}
-    parts = []
+    rows, parts = [], []
     for row in _rows(table):
         ends = np.cumsum(_unpack(row["lengths"])).tolist()
         text = zstandard.decompress(row["text"])
         known = np.array([seen.setdefault(text[s:e], len(seen)) for s, e in zip([0, *ends], ends)], np.int64)
-        owner = _unpack(row["owner"])
-        parts.append((known[_unpack(row["segment"])], _unpack(row["ids"], np.int64)[owner], _unpack(row["slots"])[owner], _unpack(row["starts"]), np.full(len(owner), row["group"], np.int32)))
-    segment, ids, slots, starts, group = (np.concatenate(c) for c in zip(*parts))
+        parts.append((known, _unpack(row["least"], np.int64)))
+        rows.append((row["group"], known, _hashes(row["hashes"]), _hashes(row["digests"]), _unpack(row["most"], np.int64)))
+    segment, ids = (np.concatenate(c) for c in zip(*parts))
     least = np.full(len(seen), NO_ID, np.int64)
     np.minimum.at(least, segment, ids)
     lengths = np.fromiter(map(len, seen), np.int64, len(seen))
@@ -166,33 +174,68 @@ def _bucket_spans(table: pa.Table, width: int) -> pa.Table:
     best = np.full(int(classes.max(initial=0)) + 1, NO_ID, np.int64)
     np.minimum.at(best, classes, least[of])
     best = best[classes]  # by window of the distinct segments
-    rows = {"group": [], "slots": [], "starts": [], "stops": []}
-    order = np.argsort(group, kind="stable")
-    group = group[order]
-    cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    for s, e in zip(cut, np.append(cut[1:], len(group))):
-        own = order[s:e]
-        n = windows[segment[own]]
-        at = np.repeat(offset[segment[own]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        gone = best[at] < np.repeat(ids[own], n)
-        edge = np.concatenate([[0], np.cumsum(n)[:-1]])
-        before = np.concatenate([[False], gone[:-1]])
-        before[edge] = False
-        after = np.concatenate([gone[1:], [False]])
-        after[edge[1:] - 1] = False
-        who = np.repeat(np.arange(len(own)), n)
-        base = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        a, z = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after)
-        if len(a):
-            rows["group"].append(int(group[s]))
-            rows["slots"].append(_pack(slots[own][who[a]]))
-            rows["starts"].append(_pack(base[a]))
-            rows["stops"].append(_pack(base[z] + width))
-    return _typed(rows, SPANS)
+    lowest = np.minimum.reduceat(best, offset)
+    edge = np.ones(len(best), bool)
+    edge[1:] = (best[1:] != best[:-1]) | (of[1:] != of[:-1])
+    run = np.flatnonzero(edge)  # windows of one smallest id
+    runs = np.bincount(of[run], minlength=len(seen))
+    first = np.cumsum(runs) - runs
+    out = {"group": [], "hashes": [], "digests": [], "runs": [], "starts": [], "least": []}
+    for group, known, hashes, digests, most in rows:
+        use = np.flatnonzero(lowest[known] < most)
+        if len(use):
+            own = known[use]
+            at = run[np.repeat(first[own] - (np.cumsum(runs[own]) - runs[own]), runs[own]) + np.arange(runs[own].sum())]
+            out["group"].append(group)
+            out["hashes"].append(hashes[use].tobytes())
+            out["digests"].append(digests[use].tobytes())
+            out["runs"].append(_pack(runs[own]))
+            out["starts"].append(_pack(at - offset[of[at]]))
+            out["least"].append(_pack(best[at], np.int64))
+    return _typed(out, TOLD)
+
+
+def _spans(group: _Group, told: list[dict], width: int, skip: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """The byte ranges to remove from each slot of group, by what the buckets told."""
+    known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for row in told:
+        runs, starts, least = _unpack(row["runs"]), _unpack(row["starts"]), _unpack(row["least"], np.int64)
+        ends = np.cumsum(runs).tolist()
+        for h, d, s, e in zip(_hashes(row["hashes"]).tolist(), _hashes(row["digests"]).tolist(), [0, *ends], ends):
+            known[h, d] = starts[s:e], least[s:e]
+    found: dict[int, list[tuple[int, int]]] = {}
+    if not known:
+        return found
+    wanted = np.unique(np.array([h for h, _ in known], np.uint64))
+    use = np.flatnonzero(~skip)
+    slot, start, count, h = anchors([group.texts[i] for i in use], width)
+    keep = np.isin(h, wanted)
+    for i, a, n, key in zip(use[slot[keep]].tolist(), start[keep].tolist(), count[keep].tolist(), h[keep].tolist()):
+        told_of = known.get((key, _digest(group.texts[i][a : a + n + width - 1])))
+        if told_of is None:
+            continue
+        starts, least = told_of
+        for s, e, low in zip(starts.tolist(), [*starts[1:].tolist(), n], least.tolist()):
+            if low < group.ids[i]:
+                found.setdefault(i, []).append((a + s, a + e - 1 + width))
+    for i, spans in found.items():
+        spans.sort()
+        whole = [spans[0]]
+        for s, e in spans[1:]:
+            if s > whole[-1][1]:
+                whole.append((s, e))
+            elif e > whole[-1][1]:
+                whole[-1] = whole[-1][0], e
+        found[i] = whole
+    return found
+
+
+def _digest(segment: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(segment)
 
 
 class SubstringDedup:
-    """The dedup's stages over docs; `spans` is what they find, `cut` applies a function to it."""
+    """The dedup's stages over docs; `told` is what they find, `cut` applies a function to it."""
 
     def __init__(self, docs: DataFrame, width: int = WIDTH):
         if width < GRAM + 8:
@@ -217,20 +260,20 @@ class SubstringDedup:
             slot, start, _, h = anchors([group.texts[i] for i in kept], width)
             slot = kept[slot] if len(slot) else slot
             bucket = _bucket_of(h, buckets)
-            order = np.argsort(bucket, kind="stable")
-            slot, start, h, bucket = slot[order], start[order], h[order], bucket[order]
+            order = np.lexsort((group.ids[slot], h, bucket))
+            ids, h, bucket = group.ids[slot[order]], h[order], bucket[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+            low, high = ids[first], ids[np.append(first[1:], len(h)) - 1] if len(h) else ids
+            h, bucket = h[first], bucket[first]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(h) else np.empty(0, np.int64)
-            rows = {"bucket": [], "group": [], "ids": [], "slots": [], "hashes": [], "owner": [], "starts": []}
+            rows = {"bucket": [], "group": [], "hashes": [], "least": [], "most": []}
             number = docs.column("group")[0].as_py() if docs.num_rows else 0
             for s, e in zip(cut, np.append(cut[1:], len(h))):
-                here, owner = np.unique(slot[s:e], return_inverse=True)
                 rows["bucket"].append(int(bucket[s]))
                 rows["group"].append(number)
-                rows["ids"].append(_pack(group.ids[here], np.int64))
-                rows["slots"].append(_pack(here))
-                rows["hashes"].append((h[s:e] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())  # 48 bits
-                rows["owner"].append(_pack(owner))
-                rows["starts"].append(_pack(start[s:e]))
+                rows["hashes"].append(_pack(h[s:e].view(np.int64), np.int64))
+                rows["least"].append(_pack(low[s:e], np.int64))
+                rows["most"].append(_pack(high[s:e] - low[s:e], np.int64))
             return _typed(rows, SENT)
 
         return self._cogroup(self.copies, run, SENT)
@@ -239,106 +282,97 @@ class SubstringDedup:
         return self.base.groupBy("group").cogroup(other.groupBy("group")).applyInArrow(run, schema)
 
     def _repeated(self) -> DataFrame:
-        """(group, slots, starts): the runs of windows whose anchor more than one document has."""
+        """(group, hashes): the anchors that more than one document has."""
 
         def run(sent: pa.Table) -> pa.Table:
             parts = []
-            for k, row in enumerate(_rows(sent)):
-                owner = _unpack(row["owner"])
-                raw = np.zeros((len(owner), 8), np.uint8)
-                raw[:, :6] = np.frombuffer(row["hashes"], np.uint8).reshape(-1, 6)
-                ids, slots = _unpack(row["ids"], np.int64), _unpack(row["slots"])
-                parts.append((raw.view("<u8").ravel(), ids[owner], slots[owner], _unpack(row["starts"]), np.full(len(owner), row["group"], np.int32)))
-            h, ids, slots, starts, group = (np.concatenate(c) for c in zip(*parts))
+            for row in _rows(sent):
+                low = _unpack(row["least"], np.int64)
+                parts.append((_unpack(row["hashes"], np.int64).view(np.uint64), low, low + _unpack(row["most"], np.int64), np.full(len(low), row["group"], np.int32)))
+            h, low, high, group = (np.concatenate(c) for c in zip(*parts))
             order = np.argsort(h, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
-            low, high = np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)
-            found = order[np.repeat(low != high, np.diff(np.append(first, len(h))))]
-            found = found[np.lexsort((starts[found], slots[found], group[found]))]
+            shared = np.minimum.reduceat(low[order], first) != np.maximum.reduceat(high[order], first)
+            found = order[np.repeat(shared, np.diff(np.append(first, len(h))))]
+            found = found[np.lexsort((h[found], group[found]))]
             cut = np.flatnonzero(np.concatenate([[True], group[found[1:]] != group[found[:-1]]])) if len(found) else np.empty(0, np.int64)
-            rows = {"group": [], "slots": [], "starts": []}
+            rows = {"group": [], "hashes": []}
             for s, e in zip(cut, np.append(cut[1:], len(found))):
                 rows["group"].append(int(group[found[s]]))
-                rows["slots"].append(_pack(slots[found[s:e]]))
-                rows["starts"].append(_pack(starts[found[s:e]]))
+                rows["hashes"].append(_pack(h[found[s:e]].view(np.int64), np.int64))
             return _typed(rows, REPEATED)
 
         return self._sent_anchors().groupBy("bucket").applyInArrow(run, REPEATED)
 
     def _segments(self) -> DataFrame:
-        """The text under those runs, dealt out by anchor: distinct segments and where they occur."""
+        """The distinct texts under those anchors' runs in a group, dealt out by anchor, with the ids that have them."""
         width, buckets = self.width, self.buckets
 
-        def run(docs: pa.Table, repeated: pa.Table) -> pa.Table:
-            rows = {"bucket": [], "group": [], "ids": [], "slots": [], "owner": [], "starts": [], "segment": [], "lengths": [], "text": []}
-            if docs.num_rows and repeated.num_rows:
+        def run(docs: pa.Table, notes: pa.Table) -> pa.Table:
+            rows = {k: [] for k in ("bucket", "group", "hashes", "digests", "least", "most", "lengths", "text")}
+            told = [r["hashes"] for r in _rows(notes) if r["hashes"] is not None]
+            if docs.num_rows and told:
                 group = _Group(docs)
-                wanted = np.concatenate([_unpack(r["slots"]) << 32 | _unpack(r["starts"]) for r in _rows(repeated)])
-                use = np.unique(wanted >> 32)
+                wanted = np.unique(np.concatenate([_unpack(x, np.int64) for x in told]).view(np.uint64))
+                use = np.flatnonzero(~group.copied(notes, width))
                 slot, start, count, h = anchors([group.texts[i] for i in use], width)
-                slot = use[slot]
-                keep = np.isin(slot << 32 | start, wanted)
-                slot, start, count, h = slot[keep], start[keep], count[keep], h[keep]
+                keep = np.flatnonzero(np.isin(h, wanted))
+                keep = keep[np.lexsort((h[keep], _bucket_of(h[keep], buckets)))]
+                slot, start, count, h = use[slot[keep]], start[keep], count[keep], h[keep]
                 bucket = _bucket_of(h, buckets)
-                order = np.lexsort((start, slot, bucket))
-                slot, start, count, bucket = slot[order], start[order], count[order], bucket[order]
                 cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(slot) else []
                 for s, e in zip(cut, np.append(cut[1:], len(slot))):
-                    here, owner = np.unique(slot[s:e], return_inverse=True)
-                    seen: dict[bytes, int] = {}
+                    seen: dict[tuple[int, bytes], int] = {}
                     segment = [
-                        seen.setdefault(group.texts[d][a : a + n + width - 1], len(seen))
-                        for d, a, n in zip(slot[s:e].tolist(), start[s:e].tolist(), count[s:e].tolist())
+                        seen.setdefault((k, group.texts[d][a : a + n + width - 1]), len(seen))
+                        for d, a, n, k in zip(slot[s:e].tolist(), start[s:e].tolist(), count[s:e].tolist(), h[s:e].tolist())
                     ]
+                    least, most = np.full(len(seen), NO_ID, np.int64), np.full(len(seen), -NO_ID - 1, np.int64)
+                    np.minimum.at(least, segment, group.ids[slot[s:e]])
+                    np.maximum.at(most, segment, group.ids[slot[s:e]])
                     rows["bucket"].append(int(bucket[s]))
                     rows["group"].append(docs.column("group")[0].as_py())
-                    rows["ids"].append(_pack(group.ids[here], np.int64))
-                    rows["slots"].append(_pack(here))
-                    rows["owner"].append(_pack(owner))
-                    rows["starts"].append(_pack(start[s:e]))
-                    rows["segment"].append(_pack(segment))
-                    rows["lengths"].append(_pack([len(t) for t in seen]))
-                    rows["text"].append(zstandard.compress(b"".join(seen), 1))
+                    rows["hashes"].append(np.array([k for k, _ in seen], np.uint64).tobytes())
+                    rows["digests"].append(np.array([_digest(t) for _, t in seen], np.uint64).tobytes())
+                    rows["least"].append(_pack(least, np.int64))
+                    rows["most"].append(_pack(most, np.int64))
+                    rows["lengths"].append(_pack([len(t) for _, t in seen]))
+                    rows["text"].append(zstandard.compress(b"".join(t for _, t in seen), 1))
             return _typed(rows, SEGMENTS)
 
-        return self._cogroup(self._repeated(), run, SEGMENTS)
+        return self._cogroup(self._with_copies(self._repeated()), run, SEGMENTS)
+
+    def _with_copies(self, notes: DataFrame) -> DataFrame:
+        """notes by group, and behind them the group's copies(id, digest)."""
+        own = [c for c in notes.columns if c != "group"]
+        copies = self.copies.select("group", *[F.lit(None).cast("binary").alias(c) for c in own], "id", "digest")
+        return notes.select("*", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("digest")).unionByName(copies)
 
-    def spans(self) -> DataFrame:
-        """(group, slots, starts, stops): packed byte ranges to remove from the documents of a group."""
+    def told(self) -> DataFrame:
+        """TOLD: for the segments of a group, the smallest ids that have their windows, as runs."""
         width = self.width
-        return self._segments().groupBy("bucket").applyInArrow(lambda table: _bucket_spans(table, width), SPANS)
+        return self._segments().groupBy("bucket").applyInArrow(lambda table: _least_ids(table, width), TOLD)
 
     def cut(self, emit, schema: str) -> DataFrame:
         """emit(table of documents, [(bytes, [(start, stop), ...]) of each row]) over the groups of documents."""
         width = self.width
-        notes = self.spans().selectExpr("*", "cast(null as long) id", "cast(null as binary) digest").unionByName(
-            self.copies.selectExpr("group", "cast(null as binary) slots", "cast(null as binary) starts", "cast(null as binary) stops", "id", "digest")
-        )
+        notes = self._with_copies(self.told())
 
         def run(docs: pa.Table, notes: pa.Table) -> pa.Table:
             group = _Group(docs)
-            found: dict[int, list] = {}
-            spans = [r for r in _rows(notes) if r["slots"] is not None]
-            if spans:
-                slot, start, stop = (np.concatenate([_unpack(r[c]) for r in spans]) for c in ("slots", "starts", "stops"))
-                order = np.lexsort((start, slot))
-                slot, start, stop = slot[order], start[order], stop[order]
-                bounds = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-                for s, e in zip(bounds, np.append(bounds[1:], len(slot))):
-                    reach = np.maximum.accumulate(stop[s:e])
-                    new = np.concatenate([[True], start[s + 1 : e] > reach[:-1]])
-                    found[int(slot[s])] = list(zip(start[s:e][new].tolist(), reach[np.append(np.flatnonzero(new)[1:] - 1, e - s - 1)].tolist()))
-            for i in np.flatnonzero(group.copied(notes, width)).tolist():
+            copied = group.copied(notes, width)
+            found = _spans(group, [r for r in _rows(notes) if r["hashes"] is not None], width, copied)
+            for i in np.flatnonzero(copied).tolist():
                 found[i] = [(0, len(group.texts[i]))]
             return emit(docs, [(group.texts[i], found.get(i, [])) for i in group.slots])
 
         return self._cogroup(notes, run, schema)
 
 
-SENT = "bucket int, group int, ids binary, slots binary, hashes binary, owner binary, starts binary"
-REPEATED = "group int, slots binary, starts binary"
-SEGMENTS = "bucket int, group int, ids binary, slots binary, owner binary, starts binary, segment binary, lengths binary, text binary"
-SPANS = "group int, slots binary, starts binary, stops binary"
+SENT = "bucket int, group int, hashes binary, least binary, most binary"
+REPEATED = "group int, hashes binary"
+SEGMENTS = "bucket int, group int, hashes binary, digests binary, least binary, most binary, lengths binary, text binary"
+TOLD = "group int, hashes binary, digests binary, runs binary, starts binary, least binary"
 
 
 def _typed(rows: dict[str, list], schema: str) -> pa.Table:

@@ -3,17 +3,16 @@
 The suffixes at a difference cover's places are ranked first. Then blocks of the wanted
 suffixes, split by their first bytes, are sorted on their own by their first PERIOD bytes, and
 suffixes that tie for so long are ordered by the ranks of the two cover places that lie at one
-and the same short distance after them. Only one block's keys are in memory at a time.
+and the same short distance after them: a merge sort, whose comparisons are made for all ties at
+once. Only one block's keys are in memory at a time.
 """
 
 from __future__ import annotations
 
-from functools import cmp_to_key
-
 import numpy as np
 
 STEP = 8
-ROOT = 8
+ROOT = 6  # windows of 50 bytes are longer than what is sorted byte by byte, so ranks decide about them
 PERIOD = ROOT * ROOT
 BLOCK = 1 << 20
 
@@ -106,19 +105,52 @@ def sorted_suffixes(text: np.ndarray, places: np.ndarray | None = None, block: i
     cuts = np.quantile(head[:: max(1, len(head) // 65536)], np.linspace(0, 1, -(-len(places) // block) + 1)[1:-1], method="lower") if len(places) > block else np.empty(0, np.uint64)
     side = np.searchsorted(np.unique(cuts), head, side="right") if len(cuts) else np.zeros(len(places), np.int64)
 
-    def compare(i: int, j: int) -> int:
-        d = int(SHIFT[i % PERIOD, j % PERIOD])
-        a, b = (int(ranks[i + d]) if i + d < n else -1 - i), (int(ranks[j + d]) if j + d < n else -1 - j)
-        return (a > b) - (a < b)
-
     for s in range(int(side.max()) + 1):
         own = places[side == s] if len(cuts) else places
         order, group = _by_prefix(own, keys, PERIOD)
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
-        size = np.diff(np.append(first, len(order)))
-        for at, m in zip(first[size > 1].tolist(), size[size > 1].tolist()):
-            order[at : at + m] = sorted(order[at : at + m].tolist(), key=cmp_to_key(compare))
-        yield order
+        yield _by_ranks(order, group, ranks, n)
+
+
+def _by_ranks(order: np.ndarray, group: np.ndarray, ranks: np.ndarray, n: int) -> np.ndarray:
+    """order with its runs of one group number sorted by the cover's ranks.
+
+    Runs are merged bottom up: an element's place in the merged run is its own and that of a
+    binary search in the run beside its own.
+    """
+    if not len(order):
+        return order
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(first, len(order)))
+    width = 1
+    while width < size.max():
+        many = size > width
+        start, count = np.repeat(first[many], size[many]), np.repeat(size[many], size[many])
+        at = np.arange(len(start)) - np.repeat(np.cumsum(size[many]) - size[many], size[many])  # in the group
+        here = start + at
+        run = at // width
+        low = np.minimum((run ^ 1) * width, count)
+        high = np.minimum(low + width, count)
+        lo, hi, right = low.copy(), high.copy(), (run & 1).astype(bool)
+        active = np.flatnonzero(lo < hi)
+        while len(active):
+            mid = (lo[active] + hi[active]) // 2
+            other, own = order[start[active] + mid], order[here[active]]
+            # The right run's elements go behind equal ones of the left run.
+            less = np.where(right[active], ~_before(own, other, ranks, n), _before(other, own, ranks, n))
+            lo[active] = np.where(less, mid + 1, lo[active])
+            hi[active] = np.where(less, hi[active], mid)
+            active = active[lo[active] < hi[active]]
+        merged = start + np.minimum(run * width, low) + (at - run * width) + (lo - low)
+        order[merged] = order[here]
+        width *= 2
+    return order
+
+
+def _before(i: np.ndarray, j: np.ndarray, ranks: np.ndarray, n: int) -> np.ndarray:
+    """Whether the suffixes from i go before those from j, both alike for a period."""
+    d = SHIFT[i % PERIOD, j % PERIOD]
+    a, b = i + d, j + d
+    return np.where(a < n, ranks[np.minimum(a, n)], -1 - i) < np.where(b < n, ranks[np.minimum(b, n)], -1 - j)
 
 
 def equal_windows(text: np.ndarray, places: np.ndarray, width: int, block: int = BLOCK) -> np.ndarray:
