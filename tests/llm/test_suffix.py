@@ -138,3 +138,15 @@ def test_empty_table_and_narrow_width(spark):
     assert sufdedup.removed_spans(df).collect() == []
     with pytest.raises(ValueError):
         sufdedup.SubstringDedup(df, 20)
+
+
+def test_the_sql_says_the_same():
+    import duckdb
+
+    from waymill.llm.queries import ORACLE_SQL
+
+    rows = corpus(7)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(con.execute(ORACLE_SQL["op8_suffix_array_dedup"]).fetchall(), key=str) == plain(rows)

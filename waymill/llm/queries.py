@@ -89,6 +89,29 @@ ORACLE_SQL = {
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
         FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
     """,
+    # Windows are cut from chunks of 256 bytes, so that no long text is walked once a window.
+    "op8_suffix_array_dedup": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        chunk AS (
+            SELECT r, id, c, substr(h, 512 * c + 1, 610) AS part
+            FROM (SELECT r, id, h, unnest(range(0, (length(h) // 2 - 50) // 256 + 1)) AS c FROM d WHERE length(h) >= 100)),
+        win AS (
+            SELECT r, id, 256 * c + i AS i, substr(part, 2 * i + 1, 100) AS s
+            FROM (SELECT r, id, c, part, unnest(range(0, least(256, length(part) // 2 - 49))) AS i FROM chunk)),
+        first AS (SELECT s, min(id) AS least_id FROM win GROUP BY s HAVING count(*) > 1),
+        gone AS (SELECT r, i FROM win JOIN first ON win.s = first.s AND least_id < id),
+        marked AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50, true) AS new FROM gone),
+        numbered AS (SELECT r, i, count(*) FILTER (WHERE new) OVER (PARTITION BY r ORDER BY i) AS k FROM marked),
+        span AS (SELECT r, k, min(i) AS a, max(i) + 50 AS z FROM numbered GROUP BY r, k),
+        piece AS (SELECT r, k, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY k), 0) AS b FROM span),
+        cut AS (
+            SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY k) AS kept
+            FROM piece JOIN d USING (r) GROUP BY r)
+        SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+        FROM d LEFT JOIN cut USING (r)
+    """,
     "op4_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
