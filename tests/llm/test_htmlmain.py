@@ -27,6 +27,7 @@ def page(article, around="", classes="post-12 main"):
         ("<p title=don't>a</p><p>it's b</p><p title=\"x>c</p><p>d</p>", "a it's b c d"),
         ("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> <svg><title>no</title><path d=x /></svg>b</p>", "a x=1 b"),
         ("<p class='long-form comments-open'>a</p><div class='article-ad-slot'>no</div><a href=/x/>b</a><b><i>c</b>d</i>", "a bcd"),
+        ("<p class='social-distancing'>a</p><div class='js-cookie-consent'>no</div><div class='wp-comments'>no</div><div class='comments-enabled'>b</div><div class='social-icons'>no</div>", "a b"),
         ("<p>a</ >b</>c</p></section></b><tr><td>d<tr><td>e", "abc d e"),
         ("<P CLASS=x>Caps</P><![CDATA[<raw>]]>", "Caps <raw>"),
     ],
@@ -43,7 +44,7 @@ def test_without_a_path_the_best_container_is_taken():
     assert htmlmain.extract("", None) == "" and htmlmain.extract("just text", None) == "just text" and htmlmain.extract("<p", None) == ""
 
 
-@pytest.mark.parametrize("tag", ["<article class='post long-form'>", "<article class=comments>", "<main class='sidebar'>", "<div style='overflow: hidden'>", "<div class='widget'>", "<div id=page class='site-header-container'>"])
+@pytest.mark.parametrize("tag", ["<article class='post long-form'>", "<article class=comments>", "<main class='sidebar'>", "<div style='overflow: hidden'>", "<div class='widget'>", "<div id=page class='site-header-container'>", "<div class='layout-sidebar-right'>"])
 def test_an_article_outlives_its_marks(tag):
     body = "<h1>Title</h1>" + "<p>article words here</p>" * 20
     want = "Title" + " article words here" * 20

@@ -31,8 +31,9 @@ CONTAINER = set("article body div main section td".split())
 DROPPED = set("nav header footer aside form script style noscript template textarea title iframe svg canvas object head button select dialog menu".split())
 CLOSES_P = BLOCK - {"body", "html"}
 CLOSES = {"li": {"li"}, "option": {"option"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
-# Words that a class or an id of boilerplate is made of. Those of the first list tell
-# it beside words of any of the lists, those of the second beside words of the first three only.
+# Words that a class or an id of boilerplate is made of. Those of the first two lists tell
+# it for a container beside any words but those of a state, for other elements beside listed words only;
+# those of the third beside words of the first four only.
 COMMENTS = set("comment comments disqus replies respond".split())
 STRONG = COMMENTS | set(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion popup modal cookie cookies consent gdpr "
@@ -40,8 +41,13 @@ STRONG = COMMENTS | set(
     "signup login pagination pager toolbar".split()
 )
 WEAK = set("alert banner notice notices alert side header footer masthead reply form widget skip".split())
-PLACES = set("left right top bottom upper lower main site page global primary secondary fixed sticky mobile desktop bar box block container wrapper wrap inner outer slot unit area section list item items link links button buttons panel group policy".split())
-CONTENT = set("post posts article articles entry story blog news content user reader body thread".split())
+PLACES = set(
+    "left right top bottom upper lower main site page global primary secondary fixed sticky mobile desktop bar box block container wrapper wrap inner outer slot unit area "
+    "section list item items link links button buttons panel group policy tools icons icon card cards label title text message holder row col column grid strip badge count content body".split()
+)
+CONTENT = set("post posts article articles entry story blog news user reader thread".split())
+STATES = set("has is no with without not open opened closed enabled disabled free hide show on off".split())
+LENIENT = set("div section ul ol dl table details fieldset".split())  # containers, which a single word may tell
 ROLES = set("navigation banner contentinfo complementary search dialog alert".split())  # fixed values: roles of boilerplate
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
@@ -74,11 +80,11 @@ def path_key(path: str) -> int:
     return key
 
 
-def _boilerplate(name: str) -> set[str]:
+def _boilerplate(name: str, lenient: bool) -> set[str]:
     """The words that make one class or id boilerplate; none if it isn't."""
     words = set(re.findall("[a-z]+", name))
     strong, weak = words & STRONG, words & WEAK
-    if strong and not words - STRONG - WEAK - PLACES - CONTENT:
+    if strong and not (words & STATES if lenient else words - STRONG - WEAK - PLACES - CONTENT):
         return strong
     return weak if weak and not words - STRONG - WEAK - PLACES else set()
 
@@ -89,7 +95,7 @@ def _general(tag: str, attrs: dict[str, str]) -> tuple[str, bool, set[str]]:
         return tag, False, set()
     value = lambda name: html_lib.unescape(attrs.get(name, "")).lower()
     classes = value("class").split()
-    told = set().union(*map(_boilerplate, [*classes, *value("id").split()]))
+    told = set().union(*(_boilerplate(name, tag in LENIENT) for name in [*classes, *value("id").split()]))
     hidden = "hidden" in attrs or value("aria-hidden") == "true" or bool(ROLES.intersection(value("role").split()))
     return ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes})]), hidden, told
 
