@@ -40,6 +40,9 @@ def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+_KEPT: list = []  # the network that is kept: its key, its tables, its graph
+
+
 class Net:
     """The derived network's tables, made when asked for."""
 
@@ -66,8 +69,17 @@ class Net:
 
     @property
     def graph(self) -> g.Graph:
-        """All three tables, kept once made: a search reads each of them several times."""
-        return g.Graph(self.nodes.persist(), self.edges.persist(), self.index.persist())
+        """All three tables, kept once made: a search reads each of them several times. One network is kept;
+        asking for another releases it."""
+        key = self.spark.sparkContext.applicationId, self.sf_dir
+        if not _KEPT or _KEPT[0] != key:
+            if _KEPT and _KEPT[0][0] == key[0]:
+                for table in _KEPT[1]:
+                    table.unpersist()
+            ids = self.ids.persist()
+            tables = g.nodes(self.vertices, ids).persist(), g.edges(self.features, ids).persist(), g.node_index(ids).persist()
+            _KEPT[:] = [key, [ids, *tables], g.Graph(*tables)]
+        return _KEPT[2]
 
     @property
     def points(self) -> DataFrame:
