@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, spilled, text_groups
+from .common import collect_garbage, crc_bucket, deleted, kept_at, spilled, text_groups
 
 CLASSES = 64  # the end's, the seeds', the others', and that of words seen once
 END, RARE, OTHERS = 0, CLASSES - 1, CLASSES - 2
@@ -266,7 +266,7 @@ def assign(batches: DataFrame, gathered: DataFrame, profiles: np.ndarray, again:
         none = F.lit(None).cast("binary")
         batches = batches.withColumn("words", none).withColumn("counts", none)
     answers = gathered.mapInArrow(reply, REPLIES)
-    return spilled(batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(merge, BATCHES))
+    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(merge, BATCHES)
 
 
 def transitions(batches: DataFrame, column: str = "classes") -> np.ndarray:
@@ -291,21 +291,27 @@ def likelihood(moved: np.ndarray) -> float:
 class Clustered:
     """The words' classes after the exchanges: batches, the column of the classes that hold, their
     transitions, the likelihood after each exchange, and counts of the training tokens: all, distinct,
-    seen once and twice. Tables that are no longer read are released."""
+    seen once and twice. Each exchange's batches are written to the shared folder, so that its shuffles,
+    and the tables before it, can be released."""
 
     def __init__(self, encoded: DataFrame, exchanges: int = EXCHANGES):
         words = encoded.agg(F.sum("n_words")).first()[0] or 0
         buckets = max(8, -(-words // BUCKET_WORDS))
         seeded, self.batches, self.column, self.likelihoods = seeds(encoded), encoded, "classes", []
+        spark, path = encoded.sparkSession, None
         for k in range(exchanges):
             gathered = gather(requests(self.batches, seeded, buckets))
             if not k:
                 self.counts = self._count(gathered)
-            moved = assign(self.batches, gathered, exchange(gathered), k + 1 < exchanges)
-            after = transitions(moved)
-            self.batches.unpersist()
-            gathered.unpersist()
-            self.batches = moved
+            moved, written_to = kept_at(assign(self.batches, gathered, exchange(gathered), k + 1 < exchanges))
+            gathered.unpersist(blocking=True)
+            self.batches.unpersist(blocking=True)
+            if path:
+                deleted(spark, path)
+            self.batches, path = moved, written_to
+            del gathered, moved
+            collect_garbage(spark)
+            after = transitions(self.batches)
             self.likelihoods.append(likelihood(after))
             if k and self.likelihoods[-1] < self.likelihoods[-2]:
                 self.column = "old"  # undone; self.moved is still that of the classes before

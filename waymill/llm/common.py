@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -113,11 +114,28 @@ def written(df: DataFrame) -> DataFrame:
     For tables too wide for checkpoint(), whose files are neither columnar nor compressed. They
     stay until the folder is cleared.
     """
+    return kept_at(df)[0]
+
+
+def kept_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """written(df), and the path of its table, for deleted()."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Remove a table of kept_at() that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark remove the shuffles of plans that nothing refers to: it does so when the driver's heap is swept."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def small(df: DataFrame, most_rows: int) -> DataFrame:
