@@ -181,7 +181,7 @@ def gather(asked: DataFrame) -> DataFrame:
         )
         return pa.Table.from_batches([_record([row], BUCKETS)])
 
-    return spilled(asked.groupBy("bucket").applyInArrow(run, BUCKETS))
+    return asked.groupBy("bucket").applyInArrow(run, BUCKETS)
 
 
 def _contexts(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -291,8 +291,8 @@ def likelihood(moved: np.ndarray) -> float:
 class Clustered:
     """The words' classes after the exchanges: batches, the column of the classes that hold, their
     transitions, the likelihood after each exchange, and counts of the training tokens: all, distinct,
-    seen once and twice. Each exchange's batches are written to the shared folder, so that its shuffles,
-    and the tables before it, can be released."""
+    seen once and twice. Each exchange's buckets and batches are written to the shared folder, so that
+    the shuffles that made them, and the tables before, can be released at once."""
 
     def __init__(self, encoded: DataFrame, exchanges: int = EXCHANGES):
         words = encoded.agg(F.sum("n_words")).first()[0] or 0
@@ -300,11 +300,12 @@ class Clustered:
         seeded, self.batches, self.column, self.likelihoods = seeds(encoded), encoded, "classes", []
         spark, path = encoded.sparkSession, None
         for k in range(exchanges):
-            gathered = gather(requests(self.batches, seeded, buckets))
+            gathered, buckets_at = kept_at(gather(requests(self.batches, seeded, buckets)))
+            collect_garbage(spark)
             if not k:
                 self.counts = self._count(gathered)
             moved, written_to = kept_at(assign(self.batches, gathered, exchange(gathered), k + 1 < exchanges))
-            gathered.unpersist(blocking=True)
+            deleted(spark, buckets_at)
             self.batches.unpersist(blocking=True)
             if path:
                 deleted(spark, path)
