@@ -168,3 +168,11 @@ def test_stores(spark):
     assert [r["id"] for r in stores.matching(keyword=r"\%").collect()] == [4]
     square = [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0)]
     assert [r["id"] for r in stores.matching(corners=square).collect()] == [1] == [r["id"] for r in stores.matching(corners=square[::-1], keyword="", category=None).collect()]
+
+
+def test_envelopes_at_the_poles_and_no_broadcast_of_cells(spark):
+    points = spark.createDataFrame([(1, 90.0, 10.0), (2, 89.9999, 10.0), (3, 90.0001, 10.0), (4, -90.0, 10.0), (5, 45.0, 10.0)], "req_id long, lat double, lon double")
+    index = spark.createDataFrame([(1, 89.9995, -170.0), (2, 90.0, 100.0), (3, 89.99, 10.0), (4, -89.9995, 0.0), (5, 45.0005, 10.001), (6, 45.0, 10.002)], "node_id long, lat double, lon double").withColumn("offset", F.lit(0))
+    met = snap.within_envelope(points, index)
+    assert sorted((r["req_id"], r["node_id"]) for r in met.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2), (4, 4), (5, 5)]
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()

@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import NodeIndexNotFound
 from ..functions import geo
 
 CELL = 0.001  # degrees; about the reach of a 100 m envelope
+NARROWEST = 1e-6  # the least cosine of a latitude by which cells widen
 
 
-def _cells(low: str, high: str):
-    return F.explode(F.sequence(F.floor(F.col(low) / CELL), F.floor(F.col(high) / CELL)))
+def _cells(low: Column, high: Column):
+    return F.explode(F.sequence(low, high))
+
+
+def _column(lon: Column, row: Column) -> Column:
+    """The cell of lon in a row of cells. Cells widen towards the poles as envelopes do, so that an envelope
+    meets a few of a row's wherever it lies; what is beyond a full turn shares the last cell."""
+    wide = F.lit(CELL) / F.greatest(F.abs(F.cos(F.radians(row * CELL))), F.lit(NARROWEST))
+    return F.floor(F.greatest(F.least(lon, F.lit(360.0)), F.lit(-360.0)) / wide)
 
 
 def within_envelope(points: DataFrame, index: DataFrame, metres: float = 100.0) -> DataFrame:
     """points(req_id, lat, lon) joined to the index entries in their envelopes, borders included.
 
-    A point is sent to the grid cells that its envelope meets, an entry to its own: an equi-join.
+    A point is sent to the grid cells that its envelope meets, an entry to its own: an equi-join. Neither side
+    is broadcast, as the points' size is unknown until they are sent to their cells. Beyond a
+    pole an envelope's west lies east of its east, and it is empty.
     """
     boxed = points.select("*", *[c.alias(f"_{n}") for n, c in geo.envelope(F.col("lat"), F.col("lon"), metres).items()])
-    sent = boxed.withColumn("_cy", _cells("_min_lat", "_max_lat")).withColumn("_cx", _cells("_min_lon", "_max_lon"))
-    entries = index.select("node_id", F.col("lat").alias("node_lat"), F.col("lon").alias("node_lon"), "offset", F.floor(F.col("lat") / CELL).alias("_cy"), F.floor(F.col("lon") / CELL).alias("_cx"))
-    met = sent.join(entries, ["_cy", "_cx"])
+    rows = boxed.where("_min_lon <= _max_lon").withColumn("_cy", _cells(F.floor(F.col("_min_lat") / CELL), F.floor(F.col("_max_lat") / CELL)))
+    sent = rows.withColumn("_cx", _cells(_column(F.col("_min_lon"), F.col("_cy")), _column(F.col("_max_lon"), F.col("_cy"))))
+    entries = index.select("node_id", F.col("lat").alias("node_lat"), F.col("lon").alias("node_lon"), "offset", F.floor(F.col("lat") / CELL).alias("_cy"))
+    entries = entries.withColumn("_cx", _column(F.col("node_lon"), F.col("_cy")))
+    met = sent.join(entries.hint("merge"), ["_cy", "_cx"])
     inside = F.col("node_lat").between(F.col("_min_lat"), F.col("_max_lat")) & F.col("node_lon").between(F.col("_min_lon"), F.col("_max_lon"))
     km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("node_lat"), F.col("node_lon"))
     return met.where(inside).withColumn("km", km).drop("_cx", "_cy", "_min_lat", "_max_lat", "_min_lon", "_max_lon")
