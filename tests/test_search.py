@@ -5,6 +5,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from waymill.config import CacheMode, RouteConfig
 from waymill.errors import GraphTooLarge
@@ -153,3 +154,38 @@ def test_stream_of_requests(spark, tmp_path):
         answer_stream(stream, sink_graph(spark), str(tmp_path / name), str(tmp_path / f"mark_{name}"), config).awaitTermination()
         got = {r["req_id"]: r["status"] for r in spark.read.parquet(str(tmp_path / name)).collect()}
         assert got == {0: "OK", 1: "NO_ROUTE"}
+
+
+def test_no_network_is_made_where_no_request_needs_one(spark, monkeypatch):
+    from tests.test_graph import request, sink_graph
+
+    monkeypatch.setattr(search, "shared_network", lambda *_: pytest.fail("a network"))
+    found = search.find_paths(request(spark, (-37, 127.0, 37, 127.03)), sink_graph(spark), track=True).collect()
+    assert [tuple(r) for r in found] == [(0, "NO_NODE", None, None, None)]
+
+
+def test_requests_end_south_of_a_network_of_any_height(spark, tmp_path, monkeypatch):
+    """Of three rows of customers 60 degrees apart: none ends where another is."""
+    from waymill.plans import fixtures, queries
+
+    rows = [(0, 1, "F", "1-URGENT"), (2, 480_001, "F", "1-URGENT")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(480_100).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(1).select(F.lit(0).cast("long").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    far = spark.createDataFrame([(0, 33.2001, 126.205, 93.1999, 126.205)], "req_id long, start_lat double, start_lon double, end_lat double, end_lon double")
+    monkeypatch.setattr(fixtures, "requests", lambda *_: far)
+    assert [tuple(r) for r in queries.route_not_found(spark, str(tmp_path)).collect()] == [(0, "NO_NODE")]
+
+
+def test_a_trace_of_routes_by_node(spark):
+    from tests.test_graph import sink_graph
+
+    graph = sink_graph(spark)
+    net = search.network_of(graph)
+    n = len(net.lon)
+    pairs = spark.createDataFrame([(i * n + j, i, j) for i in range(n) for j in range(n)], "req_id long, start_node long, end_node long")
+    place = lambda i: (net.lat[i], net.lon[i])
+    for r in search.routes_by_node(pairs, net, track=True).collect():
+        path, cost, trace = search.search(net, r["req_id"] // n, r["req_id"] % n, True)
+        got = [(t["seq"], t["side"], tuple(t["parent"]), [tuple(v) for v in t["visited"]]) for t in r["trace"]]
+        assert (r["path"], r["cost"]) == (path, cost) and got == [(i, search.SIDES[s], place(v), [place(w) for w in seen]) for i, (s, v, seen) in enumerate(trace)]

@@ -360,15 +360,19 @@ def find_paths(requests: DataFrame, graph: Graph, track: bool = False, strict: b
 
     status is that of resolve(), or NO_ROUTE. strict raises EmptyGeometry if any request
     can't be resolved, which fails the whole batch. Without a network given, one is broadcast,
-    or mapped from files where the graph is too large for that.
+    or mapped from files where the graph is too large for that; none is made if no request has
+    both its nodes and edges.
     """
-    if network is None:
-        network = shared_network(graph, config)
     resolved = resolve(requests, graph, config)
     if strict:
         bad = resolved.where("status <> 'OK'").select("req_id", "status").limit(1).collect()
         if bad:
             raise EmptyGeometry(f"request {bad[0]['req_id']}: {bad[0]['status']}")
+    if network is None and resolved.where("status = 'OK'").isEmpty():
+        nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("path", "array<int>"), ("cost", "double"), ("trace", TRACE))]
+        return resolved.select("req_id", "status", *nothing)
+    if network is None:
+        network = shared_network(graph, config)
     found = routes_by_node(resolved.where("status = 'OK'"), network, track, config, requests.count())
     status = F.when((F.col("status") == "OK") & F.col("path").isNull(), "NO_ROUTE").otherwise(F.col("status"))
     return resolved.join(found, "req_id", "left").select("req_id", status.alias("status"), "path", "cost", "trace")

@@ -613,7 +613,8 @@ def route_trace_checked(spark, sf_dir):
 
 @query("SELECT req_id, 'NO_NODE' AS status FROM route_request")
 def route_not_found(spark, sf_dir):
-    """Requests that end 60 degrees south of the network."""
+    """Requests that end 60 degrees south of the network, however far north that reaches."""
     net = Net(spark, sf_dir)
-    far = fx.requests(spark, sf_dir).withColumn("end_lat", F.col("end_lat") - 60.0)
+    south = net.graph.index.agg(F.min("lat")).first()[0]
+    far = fx.requests(spark, sf_dir).withColumn("end_lat", F.least(F.col("end_lat"), F.lit(south)) - 60.0)
     return search.find_paths(far, net.graph).select("req_id", "status")
