@@ -189,3 +189,47 @@ def test_a_trace_of_routes_by_node(spark):
         path, cost, trace = search.search(net, r["req_id"] // n, r["req_id"] % n, True)
         got = [(t["seq"], t["side"], tuple(t["parent"]), [tuple(v) for v in t["visited"]]) for t in r["trace"]]
         assert (r["path"], r["cost"]) == (path, cost) and got == [(i, search.SIDES[s], place(v), [place(w) for w in seen]) for i, (s, v, seen) in enumerate(trace)]
+
+
+def ask(spark, nodes):
+    return spark.createDataFrame([(i * nodes + j, i, j) for i in range(nodes) for j in range(nodes)], "req_id long, start_node long, end_node long")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_routes_and_costs_in_the_jvm_are_those_of_the_method(spark, seed):
+    """Of all pairs of a network whose near ends, gates and missing ways make every branch count; none is left to Python."""
+    net, _ = random_network(seed)
+    n = len(net.lon)
+    found = search.routes_by_node(ask(spark, n), net)
+    costs = exact.exact_pair_costs(ask(spark, n), net)
+    for table in (found, costs):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "MapPartitions" in plan and "InArrow" not in plan and "InPandas" not in plan
+    got, least = {r["req_id"]: r for r in found.collect()}, {r["req_id"]: r["cost"] for r in costs.collect()}
+    assert len(got) == len(least) == n * n
+    for i in range(n):
+        best = exact.least_costs(net, i)
+        for j in range(n):
+            path, cost, _ = search.search(net, i, j)
+            assert (got[i * n + j]["path"], got[i * n + j]["cost"], got[i * n + j]["trace"]) == (path, pytest.approx(cost) if cost else cost, None)
+            assert least[i * n + j] == (pytest.approx(best[j]) if j in best else None)
+
+
+def test_equal_estimates_leave_the_queue_in_order_in_the_jvm(spark):
+    """A grid of unit steps, in which nearly all estimates are equal to others."""
+    side = range(12)
+    nodes = {12 * a + b: (33.0, 127.0) for a in side for b in side}
+    steps = [(12 * a + b, 12 * c + d) for a in side for b in side for c, d in ((a + 1, b), (a, b + 1), (a - 1, b), (a, b - 1)) if c in side and d in side]
+    net = network(nodes, [(k, a, b, 1, (a + b) % 2 + 1) for k, (a, b) in enumerate(steps)])
+    got = {r["req_id"]: r["path"] for r in search.routes_by_node(ask(spark, 144).where("req_id % 7 = 0"), net).collect()}
+    assert got == {k: search.search(net, k // 144, k % 144)[0] for k in range(0, 144 * 144, 7)}
+
+
+def test_a_network_is_handed_out_as_files(spark, tmp_path, monkeypatch):
+    """Spark hands out no local folder where executors are on other machines."""
+    from tests.test_graph import sink_graph
+
+    added = []
+    monkeypatch.setattr(type(spark.sparkContext), "addFile", lambda _, path, recursive=False: added.append((path, recursive)))
+    search.map_network(sink_graph(spark), str(tmp_path)).share(spark)
+    assert len(added) == 10 and all(path.endswith(".npy") and not folder for path, folder in added)

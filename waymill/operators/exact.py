@@ -1,4 +1,4 @@
-"""Exact least costs: bounded relaxation as joins, and to convergence over a broadcast graph."""
+"""Exact least costs: bounded relaxation as joins, and to convergence over a shared graph."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import FORWARD, MappedNetwork, Network, opener
+from ..config import RouteConfig
+from . import kernel
+from .search import FORWARD, MappedNetwork, Network, opener, stored
 
 
 def bounded_costs(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
@@ -58,14 +60,8 @@ def exact_costs(sources: DataFrame, network: Network | MappedNetwork) -> DataFra
 def exact_pair_costs(pairs: DataFrame, network: Network | MappedNetwork) -> DataFrame:
     """(req_id, cost) of pairs(req_id, start_node, end_node): the least cost, null where there is no way.
 
-    A start is searched once for each of its ends, and no further than to them.
+    A start is searched once for each of its ends, and no further than to them, in the executors' JVMs (kernel.py).
     """
-    opened = opener(network, pairs.sparkSession)
-
-    def run(batches):
-        network = opened()
-        for pdf in batches:
-            cost = [least_costs(network, int(a), int(b)).get(int(b)) for a, b in zip(pdf["start_node"], pdf["end_node"])]
-            yield pd.DataFrame({"req_id": pdf["req_id"], "cost": pd.array(cost, "Float64")})
-
-    return pairs.select("req_id", "start_node", "end_node").repartition("req_id").mapInPandas(run, "req_id long, cost double")
+    spark, count = pairs.sparkSession, pairs.count()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-count // RouteConfig().requests_per_task))
+    return kernel.run(pairs.select("req_id", "start_node", "end_node").repartition(tasks, "req_id"), stored(network, spark), exact=True)
