@@ -233,3 +233,13 @@ def test_a_network_is_handed_out_as_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "addFile", lambda _, path, recursive=False: added.append((path, recursive)))
     search.map_network(sink_graph(spark), str(tmp_path)).share(spark)
     assert len(added) == 10 and all(path.endswith(".npy") and not folder for path, folder in added)
+
+
+@pytest.mark.parametrize("name", ["route_invariants", "route_steps_checked"])
+def test_a_check_of_routes_searches_each_once(spark, name):
+    """Wherever the plan reads routes, it reads those that are kept."""
+    from waymill.plans import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    read = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("InMemoryRelation") and "path#" in line]
+    assert len(read) > 1 and all("path#" not in line for line in plan.splitlines() if "MapPartitions" in line)
