@@ -1,15 +1,17 @@
 """The search kernel on hand-made graphs, and its invariants on random ones."""
 
 import heapq
+import inspect
 import random
 
 import pandas as pd
 import pytest
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 from waymill.config import CacheMode, RouteConfig
 from waymill.errors import GraphTooLarge
-from waymill.operators import exact, search
+from waymill.operators import exact, kernel, search
 
 SPEED_WEIGHT = [(100.0, 0.5), (60.0, 1.0), (30.0, 1.5)]
 
@@ -243,3 +245,74 @@ def test_a_check_of_routes_searches_each_once(spark, name):
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     read = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("InMemoryRelation") and "path#" in line]
     assert len(read) > 1 and all("path#" not in line for line in plan.splitlines() if "MapPartitions" in line)
+
+
+def kept_edges(spark, net):
+    """How many edges either direction of the JVM's network keeps of each node, by the files' numbers."""
+    folder = SparkFiles.get(search.stored(net, spark))
+    made = kernel._loader(spark).loadClass("waymill.Routes$Network").getDeclaredConstructors()[0]
+    made.setAccessible(True)
+    args = spark._jvm.java.util.ArrayList()
+    args.add(folder)
+    network_ = made.newInstance(args.toArray())
+
+    def field(of, name):
+        found = of.getClass().getDeclaredField(name)
+        found.setAccessible(True)
+        return found.get(of)
+
+    count = spark._jvm.java.lang.Class.forName("waymill.Routes$Layout", True, kernel._loader(spark)).getDeclaredMethods()
+    count = next(m for m in count if m.getName() == "count")
+    count.setAccessible(True)
+    number = field(network_, "numberOf")
+
+    def of(side, node):
+        args = spark._jvm.java.util.ArrayList()
+        args.add(int(number[node]))
+        return count.invoke(side, args.toArray())
+
+    return [[of(side, node) for node in range(len(net.lon))] for side in field(network_, "sides")]
+
+
+def test_parallel_edges_that_lower_nothing_are_left_out_in_the_jvm(spark):
+    """An edge after one as cheap to the same node; not one of another level, nor one after a dearer one."""
+    nodes = {0: (33.2, 126.2), 1: (33.3, 126.2), 2: (33.3, 126.3)}
+    edges = [(0, 0, 1, 5, 0), (1, 0, 1, 5, 0), (2, 0, 1, 9, 0), (3, 0, 1, 4, 0), (4, 0, 1, 4, 2), (5, 0, 1, 4, 2), (6, 1, 2, 1, 1), (7, 1, 2, 1, 2)]
+    assert kept_edges(spark, network(nodes, edges)) == [[3, 1, 0], [0, 3, 1]]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_routes_over_parallel_edges_in_the_jvm_are_those_of_the_method(spark, seed):
+    r = random.Random(seed)
+    nodes = {i: (33.2 + r.random() * 0.3, 126.2 + r.random() * 0.3) for i in range(25)}
+    near = [(i, (i + r.randrange(1, 4)) % 25) for i in range(25)]
+    net = network(nodes, [(k, *r.choice(near), r.choice((3, 6, 9)), r.randrange(3)) for k in range(500)])
+    found = {r["req_id"]: r for r in search.routes_by_node(ask(spark, 25), net).collect()}
+    costs = {r["req_id"]: r["cost"] for r in exact.exact_pair_costs(ask(spark, 25), net).collect()}
+    for i in range(25):
+        best = exact.least_costs(net, i)
+        for j in range(25):
+            path, cost, _ = search.search(net, i, j)
+            assert (found[i * 25 + j]["path"], found[i * 25 + j]["cost"]) == (path, pytest.approx(cost) if cost else cost)
+            assert costs[i * 25 + j] == (pytest.approx(best[j]) if j in best else None)
+
+
+def test_ranges_are_packed_in_as_many_partitions(spark):
+    """The driver fetches them by a job a partition, however many a session shuffles to."""
+    from tests.test_graph import sink_graph
+
+    for ranges in (1, 9):
+        assert search._packed_edges(sink_graph(spark), 1, ranges, CacheMode.INDEX_ONLY).rdd.getNumPartitions() == 2 * ranges
+
+
+@pytest.mark.parametrize("name", ["route_by_node", "route_by_node_checked", "sssp_exact"])
+def test_requests_are_counted_before_they_are_snapped(spark, name, monkeypatch):
+    """The number of tasks needs no second snapping of all requests."""
+    from waymill.plans import queries
+
+    counts = []
+    for module, f in ((search, search.routes_by_node), (exact, exact.exact_pair_costs)):
+        monkeypatch.setattr(module, f.__name__, lambda *a, f=f, **b: counts.append(inspect.signature(f).bind(*a, **b).arguments.get("count")) or f(*a, **b))
+    n = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert counts and set(counts) == {n}

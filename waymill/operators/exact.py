@@ -57,11 +57,12 @@ def exact_costs(sources: DataFrame, network: Network | MappedNetwork) -> DataFra
     return sources.repartition("source").mapInPandas(run, "source long, node_id long, cost double")
 
 
-def exact_pair_costs(pairs: DataFrame, network: Network | MappedNetwork) -> DataFrame:
-    """(req_id, cost) of pairs(req_id, start_node, end_node): the least cost, null where there is no way.
+def exact_pair_costs(pairs: DataFrame, network: Network | MappedNetwork, count: int | None = None) -> DataFrame:
+    """(req_id, cost) of pairs(req_id, start_node, end_node): the least cost, null where there is no way. count: about how many pairs there are, if known.
 
     A start is searched once for each of its ends, and no further than to them, in the executors' JVMs (kernel.py).
     """
-    spark, count = pairs.sparkSession, pairs.count()
+    spark = pairs.sparkSession
+    count = pairs.count() if count is None else count
     tasks = max(spark.sparkContext.defaultParallelism, -(-count // RouteConfig().requests_per_task))
     return kernel.run(pairs.select("req_id", "start_node", "end_node").repartition(tasks, "req_id"), stored(network, spark), exact=True)

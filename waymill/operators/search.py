@@ -206,8 +206,11 @@ def _packed_nodes(graph: Graph, span: int) -> DataFrame:
     return nodes.groupBy("part").applyInArrow(pack, "part long, at binary, lon binary, lat binary")
 
 
-def _packed_edges(graph: Graph, span: int, mode: CacheMode) -> DataFrame:
-    """(side, part, n, at, other, cost, level): both layouts' ranges of span nodes, sorted and packed by executors."""
+def _packed_edges(graph: Graph, span: int, ranges: int, mode: CacheMode) -> DataFrame:
+    """(side, part, n, at, other, cost, level): both layouts' ranges of span nodes, sorted and packed by executors.
+
+    As many partitions as ranges: the driver fetches them by a job each.
+    """
     both = [graph.edges.select(F.lit(side).alias("side"), F.floor(F.col(node) / span).alias("part"), F.col(node).alias("node"), F.col(other).alias("other"), "cost", "road_level", "edge_id") for side, (node, other) in enumerate((("src", "dst"), ("dst", "src")))]
 
     def pack(table: pa.Table) -> pa.Table:
@@ -220,7 +223,7 @@ def _packed_edges(graph: Graph, span: int, mode: CacheMode) -> DataFrame:
         return pa.table([table.column("side")[:1], table.column("part")[:1], pa.array([len(node)], pa.int64()), *data], names=["side", "part", "n", *LAYOUT])
 
     kinds = ", ".join(f"{name} binary" for name in LAYOUT)
-    return both[0].unionByName(both[1]).groupBy("side", "part").applyInArrow(pack, f"side int, part long, n long, {kinds}")
+    return both[0].unionByName(both[1]).repartition(2 * ranges, "side", "part").groupBy("side", "part").applyInArrow(pack, f"side int, part long, n long, {kinds}")
 
 
 def _fill(graph: Graph, config: RouteConfig, new) -> tuple:
@@ -234,8 +237,9 @@ def _fill(graph: Graph, config: RouteConfig, new) -> tuple:
     for row in _packed_nodes(graph, span).toLocalIterator(prefetchPartitions=True):
         at = np.frombuffer(row["at"], np.int64)
         lon[at], lat[at] = np.frombuffer(row["lon"], np.float64), np.frombuffer(row["lat"], np.float64)
-    parts = _packed_edges(graph, span, config.cache_mode).persist(StorageLevel.DISK_ONLY)
-    sizes = np.zeros((2, -(-n // span) + 1), np.int64)
+    ranges = max(1, -(-n // span))
+    parts = _packed_edges(graph, span, ranges, config.cache_mode).persist(StorageLevel.DISK_ONLY)
+    sizes = np.zeros((2, ranges + 1), np.int64)
     for row in parts.select("side", "part", "n").collect():
         sizes[row["side"], row["part"] + 1] = row["n"]
     starts = np.cumsum(sizes, axis=1)

@@ -511,6 +511,7 @@ def sssp_bounded_hops(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir, graph) -> DataFrame:
+    """The requests with both their nodes, of which there are about as many as requests."""
     return search.resolve(fx.requests(spark, sf_dir), graph).where("start_node is not null and end_node is not null")
 
 
@@ -518,7 +519,7 @@ def _pairs(spark, sf_dir, graph) -> DataFrame:
 def sssp_exact(spark, sf_dir):
     """The least cost of every request, and whether the search's route, if it found one, is no cheaper."""
     graph, found = _routes(spark, sf_dir)
-    best = exact.exact_pair_costs(_pairs(spark, sf_dir, graph), Net(spark, sf_dir).network)
+    best = exact.exact_pair_costs(_pairs(spark, sf_dir, graph), Net(spark, sf_dir).network, fx.requests(spark, sf_dir).count())
     both = best.join(found.select("req_id", F.col("cost").alias("found")), "req_id")
     return both.select("req_id", r6("cost").alias("cost"), F.coalesce(F.col("found") >= F.col("cost") - 1e-9, F.col("found").isNull()).alias("no_cheaper"))
 
@@ -571,14 +572,14 @@ def route_invariants(spark, sf_dir):
 def route_by_node(spark, sf_dir):
     """Routes between the nodes of every request, also of those without an edge."""
     net = Net(spark, sf_dir)
-    return search.routes_by_node(_pairs(spark, sf_dir, net.graph), net.network).select("req_id", "path", r6("cost").alias("cost"))
+    return search.routes_by_node(_pairs(spark, sf_dir, net.graph), net.network, count=fx.requests(spark, sf_dir).count()).select("req_id", "path", r6("cost").alias("cost"))
 
 
 @query("""SELECT req_id, true AS same_as_batch FROM route_request""")
 def route_by_node_checked(spark, sf_dir):
     """Per request: the route between its nodes is the one that the batch of coordinates gives."""
     graph, found = _routes(spark, sf_dir)
-    by_node = search.routes_by_node(_pairs(spark, sf_dir, graph), Net(spark, sf_dir).network).select("req_id", F.col("path").alias("by_node"), F.col("cost").alias("by_node_cost"))
+    by_node = search.routes_by_node(_pairs(spark, sf_dir, graph), Net(spark, sf_dir).network, count=fx.requests(spark, sf_dir).count()).select("req_id", F.col("path").alias("by_node"), F.col("cost").alias("by_node_cost"))
     both = found.join(by_node, "req_id", "left")
     same = F.col("path").eqNullSafe(F.col("by_node")) & F.col("cost").eqNullSafe(F.col("by_node_cost"))
     return both.select("req_id", (same | (F.col("status") == "NO_EDGE")).alias("same_as_batch"))
