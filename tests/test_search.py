@@ -316,3 +316,14 @@ def test_requests_are_counted_before_they_are_snapped(spark, name, monkeypatch):
     n = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
     queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert counts and set(counts) == {n}
+
+
+@pytest.mark.parametrize("name", ["route_by_node_checked", "sssp_exact"])
+def test_requests_are_snapped_once(spark, name, monkeypatch):
+    """Both sides of a comparison read the nodes that are kept with the network."""
+    from waymill.plans import queries
+
+    calls = []
+    monkeypatch.setattr(search, "resolve", lambda *a, f=search.resolve: calls.append(a) or f(*a))
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(calls) <= 1
