@@ -327,3 +327,24 @@ def test_requests_are_snapped_once(spark, name, monkeypatch):
     monkeypatch.setattr(search, "resolve", lambda *a, f=search.resolve: calls.append(a) or f(*a))
     queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(calls) <= 1
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_steps_from_a_routes_own_row_are_those_of_all_hops(spark, seed):
+    r = random.Random(seed)
+    nodes = {i: (33.2 + r.random() * 0.3, 126.2 + r.random() * 0.3) for i in range(25)}
+    net = network(nodes, [(k, i, (i + r.randrange(1, 4)) % 25, r.choice((3, 6, 9)), r.randrange(3)) for k, i in enumerate([*range(25)] * 4)])
+    places = spark.createDataFrame([(i, *p) for i, p in nodes.items()], "node_id long, lat double, lon double")
+    want = search.route_steps(search.routes_by_node(ask(spark, 25), net), places)
+    got = search.route_steps(search.placed_routes(ask(spark, 25), net))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {row["turn"] for row in got.where("step = 0").collect()} == {"START"}
+
+
+def test_route_steps_neither_shuffles_nor_sorts_all_steps(spark):
+    """What was a join with all nodes, a shuffle by request and a window took a quarter of the query's time."""
+    from waymill.plans import queries
+
+    plan = queries.QUERIES["route_steps"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("MapPartitions")[0]
+    assert "Generate posexplode" in above and not any(kind in above for kind in ("Join", "Window", "Sort", "Repartition"))

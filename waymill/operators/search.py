@@ -29,7 +29,7 @@ from ..functions.geo import EARTH_KM, HEURISTIC_SPEED, HEURISTIC_WEIGHT, NEAR_TA
 from . import kernel
 from . import snap as snapping
 from .graph import Graph
-from .guidance import turn_steps
+from .guidance import turn_steps, turns_of_paths
 
 FORWARD, REVERSE = 0, 1
 SIDES = ("FORWARD", "REVERSE")
@@ -333,16 +333,24 @@ class MappedNetwork:
         return lambda: Network.open(SparkFiles.get(name))
 
 
+def _dealt(requests: DataFrame, config: RouteConfig, count: int | None) -> DataFrame:
+    # A number of tasks of our own: rows are few, but each is a search, so they mustn't be coalesced.
+    count = requests.count() if count is None else count
+    tasks = max(requests.sparkSession.sparkContext.defaultParallelism, -(-count // config.requests_per_task))
+    return requests.select("req_id", "start_node", "end_node").repartition(tasks, "req_id")
+
+
+def placed_routes(requests: DataFrame, network: Network | MappedNetwork, config: RouteConfig = RouteConfig(), count: int | None = None) -> DataFrame:
+    """(req_id, path, cost, lat, lon): routes_by_node(), with the coordinates of the path's nodes as arrays beside it."""
+    return kernel.run(_dealt(requests, config, count), stored(network, requests.sparkSession), places=True)
+
+
 def routes_by_node(requests: DataFrame, network: Network | MappedNetwork, track: bool = False, config: RouteConfig = RouteConfig(), count: int | None = None) -> DataFrame:
     """FOUND for requests(req_id, start_node, end_node); path, cost are null where no route is found, trace without track. count: about how many requests there are, if known.
 
     Routes are searched in the executors' JVMs (kernel.py), traces by search() in Python.
     """
-    # A number of tasks of our own: rows are few, but each is a search, so they mustn't be coalesced.
-    spark = requests.sparkSession
-    count = requests.count() if count is None else count
-    tasks = max(spark.sparkContext.defaultParallelism, -(-count // config.requests_per_task))
-    dealt = requests.select("req_id", "start_node", "end_node").repartition(tasks, "req_id")
+    spark, dealt = requests.sparkSession, _dealt(requests, config, count)
     if not track:
         return kernel.run(dealt, stored(network, spark)).select("*", F.lit(None).cast(TRACE).alias("trace"))
     opened = opener(network, spark)
@@ -417,8 +425,13 @@ def find_paths(requests: DataFrame, graph: Graph, track: bool = False, strict: b
     return resolved.join(found, "req_id", "left").select("req_id", status.alias("status"), "path", "cost", "trace")
 
 
-def route_steps(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(req_id, step, node_id, lat, lon, turn) of the routes of find_paths() or routes_by_node()."""
+def route_steps(found: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(req_id, step, node_id, lat, lon, turn) of the routes of find_paths() or routes_by_node(), or of placed_routes().
+
+    The last need no nodes: a route's steps are made from its one row, without a shuffle or a sort of all steps.
+    """
+    if nodes is None:
+        return turns_of_paths(found.where("path is not null"))
     hops = found.where("path is not null").select("req_id", F.posexplode("path").alias("step", "node_id"))
     return turn_steps(hops.join(nodes.select("node_id", "lat", "lon"), "node_id")).select("req_id", "step", "node_id", "lat", "lon", "turn")
 
