@@ -348,3 +348,54 @@ def test_route_steps_neither_shuffles_nor_sorts_all_steps(spark):
     plan = queries.QUERIES["route_steps"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above = plan.split("MapPartitions")[0]
     assert "Generate posexplode" in above and not any(kind in above for kind in ("Join", "Window", "Sort", "Repartition"))
+
+
+def bent(r, crossings: int, roads: int):
+    """Crossings, and roads between them over one or two bends, some one-way, some parallel or a loop at a bend."""
+    nodes = {i: (33.2 + r.random() * 0.3, 126.2 + r.random() * 0.3) for i in range(crossings + 2 * roads)}
+    steps = []
+    for k in range(roads):
+        a, b = r.randrange(crossings), r.randrange(crossings)
+        line = [a, crossings + 2 * k, *([crossings + 2 * k + 1] if k % 3 == 0 else []), b]
+        for way in r.choice(([line], [line[::-1]], [line, line[::-1]])):
+            steps += [*zip(way, way[1:])] * r.choice((1, 1, 2))
+        steps += [(line[1], line[1])] * (k % 7 == 0)
+    return nodes, [(k, a, b, r.randrange(1, 20), r.randrange(3)) for k, (a, b) in enumerate(steps)]
+
+
+def test_least_costs_pass_over_bends_in_the_jvm(spark):
+    """From and to every node, bends and nodes without a road too."""
+    r = random.Random(5)
+    nodes, edges = bent(r, 8, 18)
+    net = network(nodes, edges)
+    n = len(nodes)
+    costs = {r["req_id"]: r["cost"] for r in exact.exact_pair_costs(ask(spark, n), net).collect()}
+    for i in range(n):
+        best = exact.least_costs(net, i)
+        assert {j: costs[i * n + j] for j in range(n) if costs[i * n + j] is not None} == pytest.approx(best)
+
+
+def test_bends_are_not_in_the_core(spark):
+    """A search for least costs meets crossings alone: of a road a - bend - bend - b one bend is passed over, of a - bend - b the only one."""
+    nodes = {i: (33.2 + i / 100, 126.2 + (i % 3) / 100) for i in range(9)}
+    ways = [(0, 4), (4, 1), (1, 5), (5, 2), (2, 6), (6, 0), (0, 7), (7, 8), (8, 3), (1, 3), (2, 3), (0, 1), (1, 2)]
+    net = network(nodes, [(k, a, b, 1, 2) for k, (a, b) in enumerate([*ways, *[(b, a) for a, b in ways]])])
+    folder = SparkFiles.get(search.stored(net, spark))
+
+    def made(name, *values):
+        args = spark._jvm.java.util.ArrayList()
+        for v in values:
+            args.add(v)
+        constructor = kernel._loader(spark).loadClass(f"waymill.Routes${name}").getDeclaredConstructors()[0]
+        constructor.setAccessible(True)
+        return constructor.newInstance(args.toArray())
+
+    def field(of, name):
+        found = of.getClass().getDeclaredField(name)
+        found.setAccessible(True)
+        return found.get(of)
+
+    opened = made("Network", folder)
+    passed, number = field(made("Core", opened), "passed"), field(opened, "numberOf")
+    assert [bool(passed[number[n]]) for n in (0, 1, 2, 4, 5, 6)] == [False] * 3 + [True] * 3
+    assert sum(bool(passed[number[n]]) for n in (7, 8)) == 1
