@@ -399,3 +399,53 @@ def test_bends_are_not_in_the_core(spark):
     passed, number = field(made("Core", opened), "passed"), field(opened, "numberOf")
     assert [bool(passed[number[n]]) for n in (0, 1, 2, 4, 5, 6)] == [False] * 3 + [True] * 3
     assert sum(bool(passed[number[n]]) for n in (7, 8)) == 1
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_flat_traces_in_the_jvm_are_those_of_the_method(spark, seed):
+    """Over parallel edges, each of which counts as seen."""
+    from waymill.plans.queries import trace_checks
+
+    r = random.Random(seed)
+    nodes = {i: (33.2 + r.random() * 0.3, 126.2 + r.random() * 0.3) for i in range(25)}
+    near = [(i, (i + r.randrange(1, 4)) % 25) for i in range(25)]
+    net = network(nodes, [(k, *r.choice(near), r.choice((3, 6, 9)), r.randrange(3)) for k in range(120)])
+    want = search.flat_trace(search.routes_by_node(ask(spark, 25), net, track=True))
+    got = search.traces(ask(spark, 25), net)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    for row in search.traces(ask(spark, 25).where("req_id % 25 = 7"), net, visited=True).where("seq is not null").collect():
+        seen = search.search(net, row["req_id"] // 25, 7, True)[2][row["seq"]][2]
+        assert pd.Series(memoryview(row["visited"]).cast("d")).tolist() == [v for node in seen for v in nodes[node]]
+    checks = search.traces(ask(spark, 25), net, visited=True).mapInArrow(trace_checks, "req_id long, dense boolean, each_once boolean, reaches_route boolean").collect()
+    assert sorted(map(tuple, checks)) == [(i, True, True, True) for i in range(625)]
+
+
+@pytest.mark.parametrize("size", (1, 2, 100))
+def test_checks_of_traces_find_what_is_wrong(size):
+    """However a request's rows are cut into batches."""
+    import pyarrow as pa
+
+    from waymill.plans.queries import trace_checks
+
+    at = lambda *places: pd.Series([float(v) for p in places for v in (p, 100 + p)], dtype=float).to_numpy().tobytes()
+    route = lambda req, *places: (req, None, None, None, None, len(places), at(*places))
+    step = lambda req, seq, side, place, *seen: (req, seq, side, float(place), 100.0 + place, len(seen), at(*seen))
+    rows = [
+        route(1, 1, 2, 3, 4), step(1, 0, "FORWARD", 1, 2), step(1, 1, "REVERSE", 4, 3), step(1, 2, "REVERSE", 1),
+        route(2, 1, 2, 3), step(2, 0, "FORWARD", 1, 4),  # the route's inner node isn't seen
+        route(3, 1, 2), step(3, 0, "FORWARD", 1, 2), step(3, 2, "FORWARD", 3),  # a number is missing
+        route(4), step(4, 0, "FORWARD", 1, 2), step(4, 1, "FORWARD", 1),  # one is expanded twice
+        route(5, 1),
+    ]
+    schema = pa.schema([("req_id", pa.int64()), ("seq", pa.int32()), ("side", pa.string()), ("lat", pa.float64()), ("lon", pa.float64()), ("n_visited", pa.int32()), ("visited", pa.binary())])
+    batches = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema).to_batches(size)
+    got = [tuple(r.values()) for batch in trace_checks(iter(batches)) for r in batch.to_pylist()]
+    assert got == [(1, True, True, True), (2, True, True, False), (3, False, True, True), (4, True, False, True), (5, True, True, True)]
+
+
+@pytest.mark.parametrize("name", ["route_trace", "route_trace_checked"])
+def test_traces_need_no_network_on_the_driver(spark, name, monkeypatch):
+    from waymill.plans import queries
+
+    monkeypatch.setattr(search, "network_of", lambda *_: pytest.fail("a network on the driver"))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
