@@ -449,3 +449,14 @@ def test_traces_need_no_network_on_the_driver(spark, name, monkeypatch):
 
     monkeypatch.setattr(search, "network_of", lambda *_: pytest.fail("a network on the driver"))
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_the_driver_gives_back_what_a_network_took_to_make(spark, tmp_path, monkeypatch):
+    """Before its searches, which at sixty times sf0.1 began with 1,308 MB of the driver taken."""
+    from tests.test_graph import sink_graph
+
+    given, fill = [], search._fill
+    monkeypatch.setattr(kernel, "release", lambda session, f=kernel.release: given.append(f(session)) or given[-1])
+    monkeypatch.setattr(search, "_fill", lambda *a: (made := fill(*a), given.append("filled"))[0])
+    search.map_network(sink_graph(spark), str(tmp_path))
+    assert given == [True, True, True, "filled"]
