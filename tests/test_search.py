@@ -460,3 +460,13 @@ def test_the_driver_gives_back_what_a_network_took_to_make(spark, tmp_path, monk
     monkeypatch.setattr(search, "_fill", lambda *a: (made := fill(*a), given.append("filled"))[0])
     search.map_network(sink_graph(spark), str(tmp_path))
     assert given == [True, True, True, "filled"]
+
+
+def test_route_invariants_snaps_requests_once(spark, monkeypatch):
+    from waymill.plans import queries
+
+    calls = []
+    assert queries.Net(spark, "/root/testdata/sf0.001").resolved.columns
+    monkeypatch.setattr(search, "resolve", lambda *a, f=search.resolve: calls.append(a) or f(*a))
+    queries.QUERIES["route_invariants"](spark, "/root/testdata/sf0.001")
+    assert not calls
